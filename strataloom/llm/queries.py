@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataloom.plans.tables import table
-from strataloom.llm import boilerplate, canonical, keywords, leaks, levels, packing, splitting
+from strataloom.llm import boilerplate, canonical, keywords, leaks, levels, packing, scans, splitting, truncation
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,6 +35,24 @@ def p2_clean(spark: SparkSession, sf: str) -> DataFrame:
     return boilerplate.clean_blocks(table(spark, sf, "block"), table(spark, sf, "documents"))
 
 
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return scans.scan_faults(table(spark, sf, "block"), table(spark, sf, "documents"))
+
+
+def p3_text(spark: SparkSession, sf: str) -> DataFrame:
+    """The continuous text of the scanned documents, without blocks of page furniture."""
+    got = scans.repaired_scans(table(spark, sf, "block"), table(spark, sf, "documents"))
+    return got.where("text is not null").select("doc_id", "pos", "type", "text")
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return truncation.truncated_values(table(spark, sf, "topic")).select("doc_id", "topic_ix", "field").distinct()
+
+
+def p4_rates(spark: SparkSession, sf: str) -> DataFrame:
+    return truncation.cut_rates(table(spark, sf, "topic"), table(spark, sf, "documents"))
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return splitting.oversized_blocks(table(spark, sf, "block"), table(spark, sf, "size_limit"))
 
@@ -88,5 +106,5 @@ def p9_profile(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    names = ("p1_found", "p1_scores", "p2_found", "p2_lines", "p2_clean", "p5_found", "p5_pieces", "p6_found", "p6_texts", "p7_found", "p7_packing", "p7_report", "p8_found", "p8_items", "p9_found", "p9_profile")
+    names = ("p1_found", "p1_scores", "p2_found", "p2_lines", "p2_clean", "p3_found", "p3_text", "p4_found", "p4_rates", "p5_found", "p5_pieces", "p6_found", "p6_texts", "p7_found", "p7_packing", "p7_report", "p8_found", "p8_items", "p9_found", "p9_profile")
     return {n: globals()[n] for n in names}

@@ -1,13 +1,17 @@
+"""All core queries and their SQL."""
+
 from __future__ import annotations
 
+from strataloom.queries import layout, scalars, topics  # noqa: F401
+from strataloom.queries.registry import QUERIES, SQL, Query
+
 
-def FLAGSHIP(spark, sf):
-    return spark.range(1)
+FLAGSHIP = topics.flagship_topics
 
 
-def queries():
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
-def oracle_sql():
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)

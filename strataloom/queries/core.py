@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strataloom.queries import layout, scalars, topics  # noqa: F401
+from strataloom.queries import evaluation, layout, runs, scalars, topics  # noqa: F401
 from strataloom.queries.registry import QUERIES, SQL, Query
 
 

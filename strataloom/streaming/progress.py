@@ -17,9 +17,12 @@ EVENT_SCHEMA = "client_id string, name string, status string, time double, detai
 EXPIRY = "1 hour"
 
 
-def read_events(spark: SparkSession, folder: str, files_per_trigger: int = 8) -> DataFrame:
-    """A stream of stage events from parquet files as they land in ``folder``."""
-    return spark.readStream.schema(EVENT_SCHEMA).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
+def read_events(spark: SparkSession, path: str, files_per_trigger: int = 8) -> DataFrame:
+    """A stream of stage events from the parquet files that land in the folder ``path``, or from the one file ``path``."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder = target.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(target).isDirectory()
+    reader = spark.readStream.schema(EVENT_SCHEMA).option("maxFilesPerTrigger", files_per_trigger)
+    return reader.parquet(path) if folder else reader.option("pathGlobFilter", target.getName()).parquet(str(target.getParent()))
 
 
 def latest_stages(stream: DataFrame, lateness: str = EXPIRY) -> DataFrame:

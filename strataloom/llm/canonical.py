@@ -38,6 +38,7 @@ def tables() -> dict[str, np.ndarray]:
     script = np.zeros(n, np.uint8)
     ccc = np.zeros(n, np.uint8)
     pairs: dict[tuple[int, int], int] = {}
+    count = np.ones(n, np.int8)
     for c in range(TOP):
         ch = chr(c)
         if 0xFF01 <= c <= 0xFF5E or 0xFFE0 <= c <= 0xFFE6:
@@ -53,6 +54,7 @@ def tables() -> dict[str, np.ndarray]:
                 script[c] = _LATIN if "LATIN" in name else _OTHER
         parts = unicodedata.decomposition(ch).split()
         if parts and not parts[0].startswith("<"):
+            count[c] = len(unicodedata.normalize("NFD", ch))
             composed = unicodedata.normalize("NFC", ch)
             if len(parts) == 2 and composed == ch:
                 pairs[int(parts[0], 16), int(parts[1], 16)] = c
@@ -68,31 +70,56 @@ def tables() -> dict[str, np.ndarray]:
     keys = sorted(pairs)
     return {
         "fold": fold, "length": length, "flag": flag, "script": script, "ccc": ccc, "alike": alike,
-        "letter": category_table("L M"), "mark": ccc > 0,
+        "letter": category_table("L M"), "mark": ccc > 0, "parts": count,
         "pair": np.array([(a << 21) | b for a, b in keys], np.int64), "composed": np.array([pairs[k] for k in keys], np.uint32),
         # what needs a closer look: anything that is folded, flagged, a mark, or a letter of another script
         "odd": (fold != np.arange(n)) | (flag > 0) | (ccc > 0) | (script == _OTHER),
     }
 
 
+def decompose_bases(cp: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Composed letters that marks follow, taken apart, so that all marks can be put in order.
+
+    Returns code points, offsets, and which code points stood in the text as they are.
+    """
+    t = tables()
+    _, start, _ = runs(t["mark"][cp], offsets)
+    base = start[start > 0] - 1
+    base = base[t["parts"][cp[base]] > 1]
+    if not len(base):
+        return cp, offsets, np.ones(len(cp), bool)
+    length = np.ones(len(cp), np.int64)
+    length[base] = t["parts"][cp[base]]
+    ends = np.concatenate([[0], np.cumsum(length)])
+    src = np.repeat(np.arange(len(cp)), length)
+    out, own = cp[src], np.ones(len(src), bool)
+    for c in np.unique(cp[base]):
+        where = base[cp[base] == c]
+        for k, ch in enumerate(unicodedata.normalize("NFD", chr(c))):
+            out[ends[where] + k] = ord(ch)
+            own[ends[where] + k] = k == 0
+    return out, ends[offsets], own
+
+
 def compose(cp: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Canonical composition of base letters and marks. Returns code points, kept (bool), rows' flags for composed marks.
+    """Canonical composition of letters and marks: code points, offsets, and the rows in which a mark was composed.
 
     Marks are put in canonical order, then the first, second, ... marks of all runs are composed at once.
     """
     t = tables()
+    cp, offsets, own = decompose_bases(cp, offsets)
     cp = cp.copy()
     keep = np.ones(len(cp), bool)
     row, start, end = runs(t["mark"][cp], offsets)
     done = np.zeros(len(offsets) - 1, bool)
     if not len(start):
-        return cp, keep, done
+        return cp, offsets, done
     long = end - start > 1
     if long.any():
         n = (end - start)[long]
         at = np.repeat(start[long], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         order = np.lexsort((t["ccc"][cp[at]], np.repeat(np.arange(len(n)), n)))
-        cp[at] = cp[at][order]
+        cp[at], own[at] = cp[at][order], own[at][order]
     rowstart = np.zeros(len(cp) + 1, bool)
     rowstart[offsets] = True
     ok = (start > 0) & ~rowstart[start]  # a base before the marks, in the same row
@@ -109,12 +136,14 @@ def compose(cp: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
         hit = (t["pair"][i] == key) & free
         cp[base[hit]] = t["composed"][i[hit]]
         keep[at[hit]] = False
-        done[row[hit]] = True
+        done[row[hit & own[at]]] = True
         last = np.where(hit, last, t["ccc"][mark])
         step += 1
         more = start + step < end
         row, start, end, base, last = row[more], start[more], end[more], base[more], last[more]
-    return cp, keep, done
+    left = np.zeros(len(cp) + 1, np.int64)
+    np.cumsum(keep, out=left[1:])
+    return cp[keep], left[offsets], done
 
 
 def canonical(col: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -156,11 +185,8 @@ def canonical(col: pa.Array) -> tuple[pa.Array, np.ndarray]:
         at = np.repeat(start, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
         swap = t["alike"][out[at]]
         out[at] = np.where(swap > 0, swap, out[at])
-    out, keep, composed = compose(out, offsets)
+    out, offsets, composed = compose(out, offsets)
     bits[composed] |= MARK
-    left = np.zeros(len(out) + 1, np.int64)
-    np.cumsum(keep, out=left[1:])
-    out, offsets = out[keep], left[offsets]
     found[rows] = bits
     # back to Arrow
     raw = out.astype("<u4").tobytes().decode("utf-32-le", "replace").encode("utf-8")

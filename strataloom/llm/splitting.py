@@ -132,6 +132,6 @@ def all_pieces(block: DataFrame, limits: DataFrame) -> DataFrame:
     """Every block with a text, oversized ones as their pieces: (doc_id, pos, piece_ix, n_pieces, text)."""
     cut = split_oversized(block, limits).select("doc_id", "pos", "piece_ix", "n_pieces", "text")
     caps = limits.where("applies_to = 'block' and type is not null and max_size > 0").groupBy(F.col("type").alias("_type")).agg(F.min("max_size").alias("max_size"))
-    whole = block.where("text is not null").join(F.broadcast(caps), F.col("type") == F.col("_type"), "left").where("max_size is null or length(text) <= max_size")
+    whole = block.where("text is not null").select("doc_id", "pos", "type", "text").join(F.broadcast(caps), F.col("type") == F.col("_type"), "left").where("max_size is null or length(text) <= max_size")
     whole = whole.select("doc_id", "pos", F.lit(0).alias("piece_ix"), F.lit(1).alias("n_pieces"), "text")
     return whole.unionAll(cut).distinct()

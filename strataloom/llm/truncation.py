@@ -107,7 +107,7 @@ def truncated_values(topic: DataFrame) -> DataFrame:
     values = field_values(topic)
     root = F.regexp_extract("value", r"^\s*<([A-Za-z][\w.-]*)", 1)
     is_xml = root != ""
-    closed = F.col("value").rlike(r">\s*$") & F.expr("rtrim(value) LIKE concat('%</', regexp_extract(value, '^\\\\s*<([A-Za-z][\\\\w.-]*)', 1), '>')")
+    closed = F.endswith(F.regexp_replace("value", r"\s+$", ""), F.concat(F.lit("</"), root, F.lit(">")))
     final = F.regexp_extract("value", r"([^<>]*)((?:</[\w.-]+>\s*)+)$", 1)
     tag = F.regexp_extract("value", r"[^<>]*</([\w.-]+)>\s*(?:</[\w.-]+>\s*)*$", 1)
     inner = F.regexp_extract(F.regexp_extract("value", r"((?:</[\w.-]+>\s*)+)$", 1), r"^</([\w.-]+)>", 1)

@@ -202,15 +202,16 @@ def u1_multiset_overlap(spark, sf):
     return e.join(a, ["doc_id", "type"]).groupBy("doc_id").agg(F.sum(F.least("e", "a")).alias("common"))
 
 
-@query("t1_event_stream_text", """with l as (select client_id, detail, ts, row_number() over (partition by client_id order by ts, name, coalesce(status, ''), coalesce(time, -1.0)) as n from (select distinct client_id, name, status, time, detail, ts from stage_event where detail is not null))
-select client_id, string_agg(detail, '' order by n) as text from l group by client_id""")
+@query("t1_event_stream_text", """with l as (select client_id || '/' || name || '/' || strftime(ts, '%Y-%m-%d') as key, detail, row_number() over (partition by client_id, name, ts::date order by ts, coalesce(status, ''), coalesce(time, -1.0), detail) as n from (select distinct client_id, name, status, time, detail, ts from stage_event where detail is not null))
+select key, string_agg(detail, '' order by n) as text from l group by key""")
 def t1_event_stream_text(spark, sf):
-    """Event-stream lines made from the log, read back in order; comments and bad JSON are skipped."""
+    """Event-stream lines made from a day's log of a client's stage, read back in order; comments and bad JSON are skipped."""
     ev = table(spark, sf, "stage_event").where("detail is not null").select("client_id", "name", "status", "time", "detail", "ts").distinct()
-    n = F.row_number().over(Window.partitionBy("client_id").orderBy("ts", "name", F.coalesce("status", F.lit("")), F.coalesce("time", F.lit(-1.0))))
+    ev = ev.withColumn("key", F.concat_ws("/", "client_id", "name", F.date_format("ts", "yyyy-MM-dd")))
+    n = F.row_number().over(Window.partitionBy("key").orderBy("ts", F.coalesce("status", F.lit("")), F.coalesce("time", F.lit(-1.0)), "detail"))
     good = F.concat(F.lit('data: {"candidates":[{"content":{"parts":[{"text":"'), "detail", F.lit('"}]}}]}'))
-    lines = ev.select("client_id", n.alias("n"), F.explode(F.array(good, F.lit(": ping"), F.lit("data: {bad"))).alias("line"))
-    return progress.event_stream_text(lines, "client_id").select("client_id", "text")
+    lines = ev.select("key", n.alias("n"), F.explode(F.array(good, F.lit(": ping"), F.lit("data: {bad"))).alias("line"))
+    return progress.event_stream_text(lines).select("key", "text")
 
 
 @query("t2_stream_windows")

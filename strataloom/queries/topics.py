@@ -50,15 +50,20 @@ r0 as (select doc_id, pos, case when text is null then ['']
   when type = 'table' then list_concat(string_split(text, chr(10)), [''])
   else [f, ''] end as l from (select *, {strip_sql(f"regexp_replace(text, '[{SP}]+', ' ', 'g')")} as f from b)),
 r1 as (select doc_id, pos, unnest(l) as line, unnest(range(len(l))) as part from r0),
-md as (select doc_id, line, pos * 100000 + part as o from r1)
+md as (select doc_id || ':' || (pos // 2000) as doc_id, line, pos * 100000 + part as o from r1)
 """
 
 
 @query("a7_rendered_blocks", f"with {BLOCKS}, {_RENDER}, {_MD}")
 def a7_rendered_blocks(spark: SparkSession, sf: str) -> DataFrame:
-    """Blocks rendered as Markdown (headings, items, fences, tables) and read again."""
+    """Blocks rendered as Markdown (headings, items, fences, tables) and read again, in stretches of 2000 positions.
+
+    Every rendered block ends with a blank line, so a stretch can be read without the one before it, and even a huge
+    document spreads over tasks. doc_id names document and stretch.
+    """
     lines = M.render_blocks(S.distinct_blocks(table(spark, sf, "block")))
-    return M.markdown_blocks(lines.select("doc_id", (F.col("pos").cast("bigint") * 100_000 + F.col("part")).alias("line_no"), "line"))
+    key = F.concat_ws(":", F.col("doc_id").cast("string"), F.floor(F.col("pos") / 2000).cast("string"))
+    return M.markdown_blocks(lines.select(key.alias("doc_id"), (F.col("pos").cast("bigint") * 100_000 + F.col("part")).alias("line_no"), "line"))
 
 
 # -- sections and plan ----------------------------------------------------------------------------------------------

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strataloom.plans.checkpoints import cut
 from strataloom.plans.skew import HOT_ROWS, count_join
 
 FIELDS = ("shortdesc", "body_xml")
@@ -91,6 +92,29 @@ def field_values(topic: DataFrame) -> DataFrame:
     return rows.where(F.trim("value") != "").distinct()
 
 
+def _endings(values: DataFrame) -> DataFrame:
+    """What can be told of each value from its own end; the value itself only where it has no markup.
+
+    Patterns are anchored at the start of the reversed text, so that they take linear time.
+    """
+    root = F.regexp_extract("value", r"^\s*<([A-Za-z][\w.-]*)", 1)
+    back = F.regexp_replace(F.reverse("value"), r"^\s+", "")
+    closers = F.regexp_extract("back", r"^((?:\s*>[\w.-]+/<)+)", 1)
+    v = values.select("doc_id", "topic_ix", "field", "value", root.alias("root"), back.alias("back"))
+    v = v.select("*", (F.col("root") != "").alias("xml"), F.startswith("back", F.reverse(F.concat(F.lit("</"), F.col("root"), F.lit(">")))).alias("closed"), closers.alias("closers"))
+    bare = F.expr("substring(back, length(closers) + 1)")
+    v = v.select("*", F.when(F.col("xml"), F.reverse(F.regexp_extract(bare, "^([^<>]*)", 1))).otherwise(F.col("value")).alias("tail"), F.regexp_extract(F.reverse("closers"), r"^</([\w.-]+)>", 1).alias("tag"))
+    short = F.expr("reverse(substring(back, 1, 16))")  # a mark is a few characters
+    marked = F.when(F.col("xml") & ~F.col("closed"), short.rlike(_MARK)).otherwise(F.col("tail").rlike(_MARK))
+    v = v.select("*", _ends(F.col("tail")).alias("ends"), marked.alias("marked"), (~F.col("xml") | F.col("tag").isin(*PROSE_TAGS)).alias("prose"), F.length("value").alias("n_chars"))
+    sure = (
+        F.when(F.col("marked"), "mark")
+        .when(F.col("xml") & ~F.col("closed"), "open")
+        .when(F.col("prose") & F.col("tail").rlike(_STOP) & ~_balanced(F.col("tail")), "open")
+    )
+    return v.select("doc_id", "topic_ix", "field", F.xxhash64("value").alias("id"), F.when(~F.col("xml"), F.col("value")).alias("value"), "xml", "ends", "prose", (F.trim("tail") != "").alias("said"), "n_chars", sure.alias("sure"))
+
+
 def truncated_values(topic: DataFrame) -> DataFrame:
     """(doc_id, topic_ix, field, n_chars, reason) of the values that lost their end.
 
@@ -104,38 +128,21 @@ def truncated_values(topic: DataFrame) -> DataFrame:
     A phrase without a stop (its words are rather those of titles than of sentences) and a closed body, whatever
     slips its markup has, are complete. Null, blank and missing values have no rows. Extra columns are ignored.
     """
-    values = field_values(topic)
-    root = F.regexp_extract("value", r"^\s*<([A-Za-z][\w.-]*)", 1)
-    is_xml = root != ""
-    closed = F.endswith(F.regexp_replace("value", r"\s+$", ""), F.concat(F.lit("</"), root, F.lit(">")))
-    final = F.regexp_extract("value", r"([^<>]*)((?:</[\w.-]+>\s*)+)$", 1)
-    tag = F.regexp_extract("value", r"[^<>]*</([\w.-]+)>\s*(?:</[\w.-]+>\s*)*$", 1)
-    inner = F.regexp_extract(F.regexp_extract("value", r"((?:</[\w.-]+>\s*)+)$", 1), r"^</([\w.-]+)>", 1)
-    v = values.select(
-        "*", is_xml.alias("xml"), closed.alias("closed"), F.when(is_xml, final).otherwise(F.col("value")).alias("tail"), F.when(is_xml, inner).otherwise(F.lit("")).alias("tag"),
-    )
-    v = v.withColumn("ends", _ends(F.col("tail"))).withColumn("marked", F.when(F.col("xml") & ~F.col("closed"), F.col("value").rlike(_MARK)).otherwise(F.col("tail").rlike(_MARK)))
-    v = v.withColumn("prose", ~F.col("xml") | F.col("tag").isin(*PROSE_TAGS)).withColumn("n_chars", F.length("value"))
-    sure = (
-        F.when(F.col("marked"), "mark")
-        .when(F.col("xml") & ~F.col("closed"), "open")
-        .when(F.col("prose") & F.col("tail").rlike(_STOP) & ~_balanced(F.col("tail")), "open")
-    )
-    v = v.withColumn("sure", sure)
+    v = cut(_endings(field_values(topic)))  # read five times below; bodies stay behind
     # texts without markup that do not end like sentences: sentences cut short, or complete phrases
-    loose = v.where("sure is null and not xml and not ends").select(F.xxhash64("value").alias("id"), "value").distinct()
+    loose = v.where("sure is null and not xml and not ends").select("id", "value").distinct()
     sentences = v.where("not xml and ends").select("value")
     phrases = topic.where("title is not null").select(F.col("title").alias("value"))
     odds = sentence_odds(loose, sentences, phrases)
-    # the prefix self-join, on all values
-    near = neighbours(values).select(F.col("value").alias("_v"), "longer")
+    # the prefix self-join, on all values without markup (markup that stops before its end is never closed)
+    near = neighbours(v.where("not xml")).select(F.col("value").alias("_v"), "longer")
     goes_on = F.expr("substring(longer, length(_v) + 1, 1)").rlike(r"[\p{L}\p{M}]") & F.col("_v").rlike(r"[\p{L}\p{M}]$")
     near = near.select(F.xxhash64("_v").alias("_id"), goes_on.alias("inside"))
-    v = v.withColumn("id", F.xxhash64("value")).join(odds, "id", "left").join(near, F.col("id") == F.col("_id"), "left")
+    v = v.join(odds, "id", "left").join(near, F.col("id") == F.col("_id"), "left")
     reason = (
         F.when(F.col("sure").isNotNull(), F.col("sure"))
         .when(~F.col("xml") & F.col("inside") & ~F.col("ends"), "prefix")
-        .when(F.col("xml") & F.col("prose") & ~F.col("ends") & (F.trim("tail") != ""), "sentence")
+        .when(F.col("xml") & F.col("prose") & ~F.col("ends") & F.col("said"), "sentence")
         .when(~F.col("xml") & ~F.col("ends") & (F.coalesce("odds", F.lit(0.0)) > 0), "sentence")
     )
     v = v.withColumn("reason", reason)

@@ -25,6 +25,9 @@ LOOK_ALIKES = (
     ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧαινορυγ", "ABEZHIKMNOPTYXaivopuy"),  # Greek
     ("кмтвнгп", "kmtbhrn"),  # Cyrillic small letters alike in some typefaces
 )
+#: Scripts whose letters are mistaken for Latin ones; letters of scripts that are written without blanks (Han, Thai) may
+#: well stand beside Latin words.
+ALPHABETS = ("GREEK", "CYRILLIC", "ARMENIAN", "COPTIC", "CHEROKEE", "GEORGIAN")
 _LATIN, _OTHER = 1, 2
 
 
@@ -51,7 +54,7 @@ def tables() -> dict[str, np.ndarray]:
         if kind[0] in "LM":
             name = unicodedata.name(ch, "")
             if kind[0] == "L":
-                script[c] = _LATIN if "LATIN" in name else _OTHER
+                script[c] = _LATIN if "LATIN" in name else _OTHER if name.startswith(ALPHABETS) else 0
         parts = unicodedata.decomposition(ch).split()
         if parts and not parts[0].startswith("<"):
             count[c] = len(unicodedata.normalize("NFD", ch))

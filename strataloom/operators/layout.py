@@ -6,7 +6,7 @@ Words are rows (doc_id, page, word_ix, text, x0, x1, top, bottom, fontname, size
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataloom.functions.text import SPACE, is_bold, is_footer, is_monospace, rejoin_hyphens, strip, strip_number
@@ -71,15 +71,18 @@ def lines(placed: DataFrame) -> DataFrame:
 
     The font of a line is the one with most characters, of equal ones the first; top is that of the first word.
     """
-    size = F.round(F.coalesce("size", F.lit(0.0)), 1)
-    order = F.struct(F.round("top", 1), "x0", "word_ix")
-    fonts = placed.groupBy("doc_id", "page", "line_ix", F.coalesce("fontname", F.lit("")).alias("fontname"), size.alias("size")).agg(
-        F.sum(F.length("text")).alias("n"), F.min(order).alias("first"), F.min_by("top", order).alias("top"), F.max("bottom").alias("bottom"), F.collect_list(F.struct(order.alias("o"), F.col("text").alias("t"))).alias("words")
-    )
-    rank = F.struct("n", -F.col("first.col1"), -F.col("first.x0"), -F.col("first.word_ix"))
-    whole = fonts.groupBy("doc_id", "page", "line_ix").agg(F.max_by(F.struct("fontname", "size"), rank).alias("f"), F.min_by("top", "first").alias("top"), F.max("bottom").alias("bottom"), F.sort_array(F.flatten(F.collect_list("words"))).alias("words"))
-    text = rejoin_hyphens(F.array_join(F.transform("words", lambda x: x["t"]), " "))
-    return whole.select("doc_id", "page", "line_ix", text.alias("text"), "f.fontname", "f.size", "top", "bottom")
+    word = F.struct(F.round("top", 1).alias("r"), "x0", "word_ix", "text", "top", F.struct(F.coalesce("fontname", F.lit("")).alias("fontname"), F.round(F.coalesce("size", F.lit(0.0)), 1).alias("size")).alias("font"))
+    whole = placed.groupBy("doc_id", "page", "line_ix").agg(F.sort_array(F.collect_list(word)).alias("w"), F.max("bottom").alias("bottom"))
+    fonts = F.array_distinct(F.transform("w", lambda x: x["font"]))
+
+    def weight(f: Column, i: Column) -> Column:
+        mine = F.filter("w", lambda x: x["font"] == f)
+        return F.struct(F.aggregate(mine, F.lit(0), lambda n, x: n + F.length(x["text"])).alias("n"), (-i).alias("i"), f.alias("f"))
+
+    main = F.when(F.size(fonts) == 1, F.element_at(fonts, 1)).otherwise(F.array_max(F.transform(fonts, weight))["f"])
+    text = rejoin_hyphens(F.array_join(F.transform("w", lambda x: x["text"]), " "))
+    whole = whole.select("doc_id", "page", "line_ix", text.alias("text"), main.alias("f"), F.element_at("w", 1)["top"].alias("top"), "bottom")
+    return whole.select("doc_id", "page", "line_ix", "text", "f.fontname", "f.size", "top", "bottom")
 
 
 def body_lines(all_lines: DataFrame, bodies: DataFrame) -> DataFrame:

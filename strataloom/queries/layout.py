@@ -28,12 +28,16 @@ wb as (select *, top + size as bottom from words)
 """
 
 
+def _texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts placed by document before they grow into words; all windows and joins below keep this placement."""
+    return table(spark, sf, "documents").where("text is not null").select("doc_id", "text").repartition("doc_id")
+
+
 def words(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").where("text is not null")
+    docs = _texts(spark, sf)
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    parts = F.split("line", " ", -1)
-    starts = F.transform(parts, lambda p, i: F.when(i == 0, 0).otherwise(F.length(F.array_join(F.slice(parts, F.lit(1), i), " ")) + 1))
-    ws = lines.select("doc_id", "line_no", F.startswith("line", F.lit("Note:")).alias("noted"), F.posexplode(F.arrays_zip(parts.alias("t"), starts.alias("x"))).alias("k", "z")).select("doc_id", "line_no", "noted", "k", F.col("z.t").alias("text"), F.col("z.x").alias("x")).where("text <> ''")
+    starts = F.expr("transform(split(line, ' ', -1), (p, i) -> named_struct('t', p, 'x', if(i = 0, 0, length(substring_index(line, ' ', i)) + 1)))")
+    ws = lines.select("doc_id", "line_no", F.startswith("line", F.lit("Note:")).alias("noted"), F.posexplode(starts).alias("k", "z")).select("doc_id", "line_no", "noted", "k", F.col("z.t").alias("text"), F.col("z.x").alias("x")).where("text <> ''")
     row = F.col("line_no") % LINES_A_PAGE
     size = F.when(F.col("line_no") == 0, 18).when(F.col("noted"), 10).when(F.col("line_no") % 12 == 0, 14).when(F.col("line_no") % 17 == 0, 9).when(F.col("line_no") % 23 == 0, 8).otherwise(10).cast("double")
     top = (F.when(row == 0, 40).otherwise(60) + 14 * row + F.when(F.col("line_no") % 5 == 0, 10).otherwise(0)).cast("double")
@@ -53,7 +57,7 @@ PAGES = f"pages as (select doc_id, (line_no // {LINES_A_PAGE} + 1)::int as page,
 
 
 def pages(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").where("text is not null")
+    docs = _texts(spark, sf)
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
     g = lines.groupBy("doc_id", (F.floor(F.col("line_no") / LINES_A_PAGE) + 1).cast("int").alias("page")).agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("p"))
     return g.select("doc_id", "page", F.array_join(F.transform("p", lambda x: x["line"]), "\n").alias("text"))

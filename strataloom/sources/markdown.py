@@ -9,8 +9,11 @@ from strataloom.functions.text import SPACE, split_lines, strip
 
 
 def markdown_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, line_no, line) of each text."""
-    return docs.where(F.col(text).isNotNull()).select(doc_id, F.posexplode(split_lines(F.col(text))).alias("line_no", "line"))
+    """(doc_id, line_no, line) of each text.
+
+    Texts are placed by document before they are split, so that only they are shuffled and no line is.
+    """
+    return docs.where(F.col(text).isNotNull()).select(doc_id, text).repartition(doc_id).select(doc_id, F.posexplode(split_lines(F.col(text))).alias("line_no", "line"))
 
 
 def markdown_blocks(lines: DataFrame, doc_id: str = "doc_id", order: str = "line_no") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataloom.plans.checkpoints import cut
@@ -57,12 +57,11 @@ def neighbours(values: DataFrame, column: str = "value") -> DataFrame:
         if held is not None:
             yield pd.DataFrame([(held, None, part, "last")], columns=["value", "longer", "part", "kind"])
 
-    got = ordered.mapInPandas(scan, "value string, longer string, part int, kind string")
+    got = cut(ordered.mapInPandas(scan, "value string, longer string, part int, kind string"))
     pairs = got.where("kind = 'pair'").select("value", "longer")
-    edges = got.where("kind <> 'pair'")  # two rows per partition
-    last = edges.where("kind = 'last'").select(F.col("value"), F.col("part").alias("p"))
-    after = last.join(edges.where("kind = 'first'").select(F.col("value").alias("longer"), "part"), F.col("part") > F.col("p")).groupBy("value").agg(F.min_by("longer", "part").alias("longer"))
-    return pairs.unionAll(after.where(F.expr("startswith(longer, value)")))
+    # at most two rows per partition; "first" sorts before "last", so the row after a last one is the next partition's first
+    edges = got.where("kind <> 'pair'").withColumn("next", F.lead("value").over(Window.partitionBy(F.lit(0)).orderBy("part", "kind")))
+    return pairs.unionAll(edges.where("kind = 'last' and startswith(next, value)").select("value", F.col("next").alias("longer")))
 
 
 def sentence_odds(unknown: DataFrame, sentences: DataFrame, phrases: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -145,7 +144,7 @@ def truncated_values(topic: DataFrame) -> DataFrame:
         .when(F.col("xml") & F.col("prose") & ~F.col("ends") & F.col("said"), "sentence")
         .when(~F.col("xml") & ~F.col("ends") & (F.coalesce("odds", F.lit(0.0)) > 0), "sentence")
     )
-    v = v.withColumn("reason", reason)
+    v = cut(v.select("doc_id", "topic_ix", "field", "n_chars", "ends", "inside", reason.alias("reason")))
     # complete-looking values that a longer one continues, at a length at which the field's values are cut
     limits = v.where("reason is not null").groupBy(F.col("field").alias("_f"), F.col("n_chars").alias("_n")).agg(F.count("*").alias("at")).where(F.col("at") >= LIMIT_VALUES)
     doubtful = v.where("reason is null and inside is not null and ends").select("doc_id", "topic_ix", "field", "n_chars")

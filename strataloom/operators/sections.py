@@ -122,7 +122,7 @@ def previews(placed: DataFrame, blocks: int = 3, chars: int = 100, total: int =
     return g.select("doc_id", "section_ix", F.substring(F.array_join(F.transform("p", lambda x: x["t"]), " "), 1, total).alias("preview"))
 
 
-#: How a block of each type is announced to an annotator.
+# How a block of each type is announced to an annotator.
 TAGS = {"table": "[TABLE]\n", "code": "[CODE]\n", "image": "[IMAGE] filename: ", "list_item": "[LIST_ITEM] ", "note": "[NOTE] "}
 
 

@@ -57,5 +57,21 @@ where length(b.text) > s.max_size
 """
 
 
+P2_LINES = (
+    _LINES.replace("k as (select doc_id, pos, line_ix, lower(", "k as (select doc_id, pos, line_ix, trim(line) as line, lower(")
+    + """select source, min(line) as example, count(distinct doc_id) as n_docs, count(*) as n_lines, count(distinct cluster) as n_texts, count(distinct coalesce(day, date '1900-01-01')) as n_days
+from (select p.*, d.captured_at::date as day from p join documents d using (doc_id)) join f using (source, k) group by source, k"""
+)
+
+_ALPHABETS = r"[\p{Greek}\p{Cyrillic}\p{Armenian}\p{Coptic}\p{Cherokee}\p{Georgian}]"
+P6_FOUND = rf"""
+with t as (select 'block_text' as field, doc_id, pos as ix, text from block union all select 'topic_title', doc_id, topic_ix, title from topic)
+select distinct field, doc_id, ix from t
+where regexp_matches(text, '[\x{{FF01}}-\x{{FF5E}}\x{{FFE0}}-\x{{FFE6}}\x{{FB00}}-\x{{FB06}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{202F}}\x{{205F}}\x{{3000}}\x{{180E}}\x{{200B}}-\x{{200D}}\x{{2060}}\x{{FEFF}}]')
+or (regexp_matches(text, '\p{{M}}') and nfc_normalize(text) <> text)
+or regexp_matches(text, '\p{{Latin}}[\p{{L}}\p{{M}}]*{_ALPHABETS}|{_ALPHABETS}[\p{{L}}\p{{M}}]*\p{{Latin}}')
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND, "p1_scores": P1_SCORES, "p2_found": P2_FOUND, "p2_clean": P2_CLEAN, "p5_found": P5_FOUND}
+    return {"p1_found": P1_FOUND, "p1_scores": P1_SCORES, "p2_found": P2_FOUND, "p2_lines": P2_LINES, "p2_clean": P2_CLEAN, "p5_found": P5_FOUND, "p6_found": P6_FOUND}

@@ -104,11 +104,11 @@ def test_scanned_pages(spark):
         (0, "heading", "Manual Acc0unt Settings"), (1, "paragraph", "Every acc-\nount validates"), (2, "paragraph", "thc default appr­ oval"), (3, "paragraph", "[12]"),
         (4, "paragraph", "MANUAL ACCOUNT 5ETTINGS"), (5, "paragraph", "Page 3   Manual Account Settings"), (6, "paragraph", "while the man-"), (7, "list_item", "the balance"), (8, "paragraph", "7"),
         (9, "paragraph", "ual. The words"), (10, "paragraph", "the monthly\n- 4 -\nManual Account Settings\nbalance"), (11, "code", "x = acc0unt"), (12, "paragraph", None), (13, "paragraph", ""), (14, "paragraph", "The year-\nend of the cut- off"),
-        (1, "paragraph", "Every acc-\nount validates"), (15, "paragraph", "Codes B2B, MT100 and Q7l, 3b"),
+        (1, "paragraph", "Every acc-\nount validates"), (16, "list_item", "the ac."), (15, "paragraph", "Codes B2B, MT100 and Q7l, 3b"),
     ])
     docs = docs.union(spark.createDataFrame([(i, "year end cut off and codes", "en", "s", None, None, None) for i in range(200, 204)], DOCS))
     got = {r["pos"]: (r["kinds"], r["text"]) for r in scans.repaired_scans(block, docs).collect()}
-    assert len(got) == 16
+    assert len(got) == 17 and got[16] == ([], "the ac.")
     assert got[0] == ([], "Manual Acc0unt Settings") and got[11] == ([], "x = acc0unt") and got[12] == ([], None) and got[13] == ([], "")
     assert got[1] == (["split_word"], "Every account validates")
     assert got[2] == (["misread", "split_word"], "the default approval")

@@ -157,6 +157,19 @@ def insert_tables(block: DataFrame, tables: DataFrame) -> DataFrame:
     return block.select("doc_id", "pos", F.lit(0).alias("part"), "type", "text", "page").unionAll(placed)
 
 
+def append_images(block: DataFrame, images: DataFrame) -> DataFrame:
+    """Blocks with images after the last block of their page: (doc_id, pos, part, type, text, page).
+
+    ``images`` is (doc_id, page, seq, name); those of a page without blocks follow the last block of an earlier page.
+    """
+    ends = block.groupBy("doc_id", "page").agg(F.max("pos").alias("last"))
+    upto = Window.partitionBy("doc_id").orderBy("page").rowsBetween(Window.unboundedPreceding, 0)
+    pages = ends.unionByName(images.select("doc_id", "page").distinct().withColumn("last", F.lit(None).cast("int"))).groupBy("doc_id", "page").agg(F.max("last").alias("last"))
+    pages = pages.withColumn("last", F.coalesce(F.max("last").over(upto), F.lit(-1)))
+    placed = images.join(pages, ["doc_id", "page"]).select("doc_id", F.col("last").alias("pos"), F.col("seq").cast("int").alias("part"), F.lit("image").alias("type"), F.col("name").alias("text"), "page")
+    return block.select("doc_id", "pos", F.lit(0).alias("part"), "type", "text", "page").unionAll(placed)
+
+
 def number_images(images: DataFrame) -> DataFrame:
     """Images with ``seq``, counted through the document by page and place."""
     return images.withColumn("seq", F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "img_ix")))

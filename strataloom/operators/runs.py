@@ -81,3 +81,24 @@ def image_cap_audit(images: DataFrame, width: int = 1000, size: int = 204_800) -
     """(doc_id, ok, bad) of images (doc_id, width, bytes) against the caps; unreadable ones (null) do not count."""
     ok = (F.col("width") <= width) & (F.col("bytes") <= size)
     return images.where("width is not null and bytes is not null").groupBy("doc_id").agg(F.count_if(ok).alias("ok"), F.count_if(~ok).alias("bad"))
+
+
+def error_lines(logs: DataFrame, line: str = "line") -> DataFrame:
+    """Log lines that hold a coded error or failure."""
+    return logs.where(F.contains(line, F.lit("[DOT")) & (F.contains(line, F.lit("E]")) | F.contains(line, F.lit("F]"))))
+
+
+def run_stats(sections: DataFrame, topics: DataFrame, files: DataFrame, valid: DataFrame | None = None) -> DataFrame:
+    """(doc_id, sections, topics, files, failed): what a run made of each document; counts are made before the joins.
+
+    ``valid`` (doc_id, valid) is optional; without it no file counts as failed.
+    """
+    s = sections.groupBy("doc_id").agg(F.count("*").alias("sections"))
+    t = topics.groupBy("doc_id").agg(F.count("*").alias("topics"))
+    f = files.groupBy("doc_id").agg(F.count("*").alias("files"))
+    out = s.join(t, "doc_id", "full").join(f, "doc_id", "full")
+    if valid is not None:
+        out = out.join(valid.groupBy("doc_id").agg(F.count_if(~F.col("valid")).alias("failed")), "doc_id", "left")
+    else:
+        out = out.withColumn("failed", F.lit(0).cast("bigint"))
+    return out.select("doc_id", *(F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("sections", "topics", "files", "failed")))

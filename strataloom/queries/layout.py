@@ -184,3 +184,19 @@ def j4_insert_tables(spark, sf):
 def a5_number_images(spark, sf):
     """Images counted through each document."""
     return L.number_images(table(spark, sf, "block").where("type = 'image'").select("doc_id", "page", F.col("pos").alias("img_ix")).distinct())
+
+
+@query(
+    "j5_append_images",
+    """with b as (select distinct doc_id, pos, type, text, page from block where type <> 'image' or type is null),
+i as (select doc_id, page, name, row_number() over (partition by doc_id order by page, pos)::int as seq from (select distinct doc_id, page, pos, coalesce(text, '') as name from block where type = 'image')),
+p as (select doc_id, page, max(last) as last from (select doc_id, page, pos as last from b union all select doc_id, page, null from i) group by all),
+q as (select doc_id, page, coalesce(max(last) over (partition by doc_id order by page rows unbounded preceding), -1)::int as last from p)
+select doc_id, last as pos, seq as part, 'image' as type, name as text, page from i join q using (doc_id, page) union all select doc_id, pos, 0, type, text, page from b""",
+)
+def j5_append_images(spark, sf):
+    """The images of a page after its blocks."""
+    raw = table(spark, sf, "block")
+    b = raw.where("type <> 'image' or type is null").select("doc_id", "pos", "type", "text", "page").distinct()
+    i = raw.where("type = 'image'").select("doc_id", "page", F.col("pos").alias("img_ix"), F.coalesce("text", F.lit("")).alias("name")).distinct()
+    return L.append_images(b, L.number_images(i).select("doc_id", "page", "seq", "name"))

@@ -226,3 +226,19 @@ def t9_stream_once(spark, sf):
     """T9 as a stream: each stage of a client once within the watermark."""
     stream = progress.read_events(spark, f"{sf}/stage_event.parquet")
     return progress.run_to_table(progress.once_per_stage(stream).select("client_id", "name", "ts"))
+
+
+@query("c22_error_lines", f"with {_EV}, l as (select client_id, ts, coalesce(detail, '') || case status when 'error' then ' [DOTJ013E]' when 'skipped' then ' [DOTX008W]' else '' end as line from ev) select distinct client_id, ts, line from l where contains(line, '[DOT') and (contains(line, 'E]') or contains(line, 'F]'))")
+def c22_error_lines(spark, sf):
+    """C22 on log lines made from the events."""
+    line = F.concat(F.coalesce("detail", F.lit("")), F.when(F.col("status") == "error", " [DOTJ013E]").when(F.col("status") == "skipped", " [DOTX008W]").otherwise(""))
+    return R.error_lines(events(spark, sf).select("client_id", "ts", line.alias("line"))).distinct()
+
+
+@query("d13_run_stats", """with s as (select doc_id, count(distinct pos) as sections from block where type = 'heading' group by doc_id), t as (select doc_id, count(distinct topic_ix) as topics from topic group by doc_id), f as (select doc_id, count(distinct topic_ix) as files from out_file group by doc_id)
+select doc_id, coalesce(sections, 0)::bigint as sections, coalesce(topics, 0)::bigint as topics, coalesce(files, 0)::bigint as files, 0::bigint as failed from s full join t using (doc_id) full join f using (doc_id)""")
+def d13_run_stats(spark, sf):
+    """Headings, topics and files of each document."""
+    s = table(spark, sf, "block").where("type = 'heading'").select("doc_id", "pos").distinct()
+    t = table(spark, sf, "topic").select("doc_id", "topic_ix").distinct()
+    return R.run_stats(s, t, table(spark, sf, "out_file").select("doc_id", "topic_ix").distinct())

@@ -49,6 +49,7 @@ _topic_query(
 )
 _block_query("f9_strip_invisible", lambda: T.strip_invisible(C("text")), "regexp_replace(text, '[\\x{200B}-\\x{200D}\\x{2060}\\x{FEFF}]|&#x?200[bcdBCD];', '', 'g')")
 _block_query("f10_drop_etc", lambda: T.drop_etc(C("text")), r"regexp_replace(regexp_replace(text, ',\s+etc\.\s+', '. ', 'g'), ',\s+etc\.([<\s]|$)', '.\1', 'g')")
+_block_query("f10_write_out", lambda: T.write_out(F.concat(F.lit("Sent via x, e.g. y, i.e. z. "), C("text"))), r"regexp_replace(regexp_replace(regexp_replace('Sent via x, e.g. y, i.e. z. ' || text, '\bi\.e\.', 'that is', 'g'), '\be\.g\.', 'for example', 'g'), '\bvia\b', 'through', 'g')")
 _topic_query("f11_unescape_quotes", lambda: T.unescape_quotes(C("body_xml")), "replace(body_xml, '\\\"', '\"')")
 _topic_query("f12_close_class_attribute", lambda: T.close_class_attribute(C("body_xml")), r"""regexp_replace(body_xml, '(\bclass="[^"]*")\s*"([^<>"]*)(<|$)', '\1>\2\3', 'g')""")
 

@@ -170,7 +170,7 @@ def test_metrics(spark):
 
 def test_layout(spark):
     def word(i, text, top, size=10.0, font="Serif", x=None, page=1):
-        return (1, page, i, text, float(x if x is not None else i * 10), float(i * 10 + 8), float(top), float(top) + size, font, size)
+        return (1, page, i, text, float(x if x is not None else i * 10), float(i * 10 + 8), float(top), float(top) + size, font, float(size))
 
     words = [
         word(0, "Running", 40, 10), word(1, "Title", 60, 18, "Serif-Bold"), word(2, "one", 80), word(3, "two", 80), word(4, "three", 92), word(5, "far", 120),

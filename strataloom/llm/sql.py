@@ -35,9 +35,9 @@ _LINES = """
 with l as (select distinct doc_id, pos, unnest(range(len(s)))::int as line_ix, unnest(s) as line
            from (select doc_id, pos, string_split(text, chr(10)) as s from block where type in ('paragraph', 'list_item', 'note') and text is not null)),
 k as (select doc_id, pos, line_ix, lower(regexp_replace(regexp_replace(line, '[\\s\\p{Z}]+', '', 'g'), '[0-9]+', '0', 'g')) as k from l),
-p as (select k.*, d.source, coalesce(nullif(translate(d.text, ' ' || chr(9) || chr(13) || chr(10), ''), ''), d.doc_id::varchar) as cluster from k join documents d using (doc_id) where k.k <> '' and d.source is not null),
+p as (select k.*, d.source, coalesce(nullif(translate(d.text, ' ' || chr(9) || chr(13) || chr(10), ''), ''), d.doc_id::varchar) as cluster, d.captured_at::date as captured from k join documents d using (doc_id) where k.k <> '' and d.source is not null),
 m as (select source, count(distinct doc_id) as m from documents where doc_id in (select doc_id from block) group by source),
-f as (select source, k from p join m using (source) group by source, k, m having count(distinct doc_id) >= 3 and count(distinct doc_id) * 5 >= m and count(distinct cluster) >= 2)
+f as (select source, k from p join m using (source) group by source, k, m having count(distinct doc_id) >= 3 and count(distinct doc_id) * 5 >= m and count(distinct cluster) >= 2 and (min(captured) is null or min(captured) < max(captured)))
 """
 
 P2_FOUND = _LINES + "select distinct doc_id, pos, line_ix from p join f using (source, k)"

@@ -86,6 +86,10 @@ def test_republished_text_is_no_boilerplate(spark):
     block = spark.createDataFrame([(i, 0, "paragraph", "One article", 1, 0) for i in range(4)] + [(i, 0, "paragraph", f"other {chr(97 + i)}", 1, 0) for i in (4, 5)], BLOCK)
     assert boilerplate.repeated_lines(block, docs).count() == 0
     assert boilerplate.repeated_lines(block, docs, min_clusters=1).count() == 4
+    different = docs.withColumn("text", F.col("doc_id").cast("string")).withColumn("captured_at", F.to_timestamp(F.lit("2024-01-01")))
+    assert boilerplate.repeated_lines(block, different).count() == 0  # all on one day
+    days = different.withColumn("captured_at", F.to_timestamp(F.concat(F.lit("2024-01-0"), F.col("doc_id") + 1)))
+    assert boilerplate.repeated_lines(block, days).count() == 4
     assert boilerplate.repeated_lines(block.limit(0), docs).count() == 0
 
 

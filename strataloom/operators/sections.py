@@ -34,25 +34,53 @@ def clean_blocks(block: DataFrame) -> DataFrame:
     return block.where("type <> 'paragraph' or type is null").unionByName(paras)
 
 
+def planning_rows(block: DataFrame) -> DataFrame:
+    """What planning needs of each block, each once: (doc_id, pos, type, level, page, text, verbs).
+
+    Only headings keep their text; of other texts stay the bits of the VERBS they hold and the hash of their folded
+    form, so that what is shuffled from here on does not grow with the texts. Echoes and footers are left out.
+    """
+    low = F.lower(F.coalesce("text", F.lit("")))
+    norm = F.lower(strip(F.col("text")))
+    bits = F.lit(0)
+    for i, v in enumerate(VERBS):
+        bits = bits + F.when(F.contains(low, F.lit(v)), 1 << i).otherwise(0)
+    head = F.col("type") == "heading"
+    slim = block.select(
+        "doc_id", "pos", "type", "level", "page", F.when(head, F.col("text")).alias("text"), F.when(~head, bits).otherwise(0).alias("verbs"),
+        F.xxhash64(norm).alias("hash"), (F.col("text").isNotNull() & (F.length(norm) < ECHO_CHARS)).alias("short"),
+        F.coalesce((F.col("type") == "paragraph") & norm.rlike(f"^(page[{SPACE}]+[0-9]+|sample file:)"), F.lit(False)).alias("footer"),
+    )
+    slim = slim.where("not footer").distinct()
+    heads = slim.where("type = 'heading' and short").select(F.col("doc_id").alias("_d"), F.col("hash").alias("_h")).distinct()
+    echo = (F.col("doc_id") == F.col("_d")) & (F.col("hash") == F.col("_h")) & (F.col("type") == "paragraph") & F.col("short")
+    return slim.join(heads, echo, "left_anti").select("doc_id", "pos", "type", "level", "page", "text", "verbs")
+
+
 def section_blocks(block: DataFrame) -> DataFrame:
     """Blocks with ``section_ix``, 0 for those before the first heading; positions must be unique in a document."""
     return running_total(block, "doc_id", "pos", F.when(F.col("type") == "heading", 1).otherwise(0), "section_ix")
 
 
 def sections(placed: DataFrame) -> DataFrame:
-    """(doc_id, section_ix, title, level, page_start, types, n_blocks, ...) of blocks with ``section_ix``.
+    """(doc_id, section_ix, title, level, page_start, n_blocks, n_tables, n_items, verbs) of rows with ``section_ix``.
 
-    One row per section with what the topic rules need, combined before the shuffle: block counts by type, and which
-    of VERBS occur in its texts. Blocks before the first heading are "Introduction" on level 1.
+    ``placed`` are planning rows or whole blocks. One row per section with what the topic rules need, combined before
+    the shuffle: block counts by type, and how many of VERBS occur in its texts. Blocks before the first heading are
+    "Introduction" on level 1.
     """
     body = F.col("type") != "heading"
-    low = F.lower(F.coalesce("text", F.lit("")))
-    hits = [F.max(F.when(body, F.contains(low, F.lit(v)).cast("int")).otherwise(0)).alias(f"v{i}") for i, v in enumerate(VERBS)]
+    if "verbs" not in placed.columns:
+        low = F.lower(F.coalesce("text", F.lit("")))
+        bits = F.lit(0)
+        for i, v in enumerate(VERBS):
+            bits = bits + F.when(F.contains(low, F.lit(v)), 1 << i).otherwise(0)
+        placed = placed.withColumn("verbs", F.when(body, bits).otherwise(0))
     g = placed.groupBy("doc_id", "section_ix").agg(
         F.max(F.when(~body, F.struct("text", "level", "page"))).alias("h"), F.min_by("page", "pos").alias("page_start"),
-        F.count_if(body).alias("n_blocks"), F.count_if(F.col("type") == "table").alias("n_tables"), F.count_if(F.col("type") == "list_item").alias("n_items"), *hits,
+        F.count_if(body).alias("n_blocks"), F.count_if(F.col("type") == "table").alias("n_tables"), F.count_if(F.col("type") == "list_item").alias("n_items"), F.bit_or("verbs").alias("bits"),
     )
-    return g.select("doc_id", "section_ix", F.when(F.col("section_ix") == 0, "Introduction").otherwise(F.col("h.text")).alias("title"), F.when(F.col("section_ix") == 0, 1).otherwise(F.col("h.level")).alias("level"), "page_start", "n_blocks", "n_tables", "n_items", sum((F.col(f"v{i}") for i in range(len(VERBS))), F.lit(0)).alias("verbs"))
+    return g.select("doc_id", "section_ix", F.when(F.col("section_ix") == 0, "Introduction").otherwise(F.col("h.text")).alias("title"), F.when(F.col("section_ix") == 0, 1).otherwise(F.col("h.level")).alias("level"), "page_start", "n_blocks", "n_tables", "n_items", F.bit_count("bits").alias("verbs"))
 
 
 def topic_type(secs: DataFrame) -> DataFrame:

@@ -98,7 +98,11 @@ def _placed(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _planned(spark: SparkSession, sf: str) -> DataFrame:
-    return S.plan_topics(S.topic_type(S.sections(_placed(spark, sf))))
+    return S.plan_topics(S.topic_type(_sections(spark, sf)))
+
+
+def _sections(spark: SparkSession, sf: str) -> DataFrame:
+    return S.sections(S.section_blocks(S.planning_rows(table(spark, sf, "block"))))
 
 
 def topic_rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -126,7 +130,7 @@ def g4_block_counts(spark, sf):
 @query("g7_section_types", f"with {BLOCKS}, {_TYPED} select doc_id, section_ix, title, level::int as level, n_blocks, verbs::bigint as verbs, topic_type from st")
 def g7_section_types(spark, sf):
     """Sections with their verb hits and rule-based type."""
-    t = S.topic_type(S.sections(_placed(spark, sf)))
+    t = S.topic_type(_sections(spark, sf))
     return t.select("doc_id", F.col("section_ix").cast("bigint").alias("section_ix"), "title", F.col("level").cast("int").alias("level"), "n_blocks", F.col("verbs").cast("bigint").alias("verbs"), "topic_type")
 
 

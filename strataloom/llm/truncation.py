@@ -14,8 +14,10 @@ from strataloom.plans.skew import HOT_ROWS, count_join
 FIELDS = ("shortdesc", "body_xml")
 #: Elements whose text is made of sentences; others (list items, cells, titles) may end without a stop.
 PROSE_TAGS = ("p", "cmd", "shortdesc", "note", "context", "result", "info", "prereq", "stepresult")
-#: A length that at least this many cut values of a field share is a limit of the field.
-LIMIT_VALUES = 10
+#: A length is a limit where it has this many times the cut values that lengths near it (so many to either side) usually have.
+LIMIT_TIMES, LIMIT_NEAR = 5, 20
+#: Where the median is small, chance alone gives some lengths several values: the median counts as so many more.
+LIMIT_CHANCE = 1.5
 
 _MARK = r"(?:…|\.\.\.|�|\[(?:…|\.\.\.)\]|\((?:…|\.\.\.)\))\s*$"
 _STOP = r"[.!?。！？][\"'”’»)\]]*\s*$"
@@ -114,6 +116,28 @@ def _endings(values: DataFrame) -> DataFrame:
     return v.select("doc_id", "topic_ix", "field", F.xxhash64("value").alias("id"), F.when(~F.col("xml"), F.col("value")).alias("value"), "xml", "ends", "prose", (F.trim("tail") != "").alias("said"), "n_chars", sure.alias("sure"))
 
 
+def limit_lengths(cut_values: DataFrame, *keys: str) -> DataFrame:
+    """(keys, n_chars, at): lengths at which cut values pile up, with how many are cut there.
+
+    Cuts by chance (a transfer that broke off) lie on every length, the more the larger the input; so a length is held
+    against the median of the lengths near it, those without a cut value included: below or above it, whichever is more, as
+    values may have a longest length. ``LIMIT_CHANCE`` is added to that median, for the chance of few values. Rows here are one per
+    length and length near it, however many the values are.
+    """
+    at = cut_values.groupBy(*keys, "n_chars").agg(F.count("*").alias("at"))
+    moved = at.select(*keys, F.explode(F.sequence(F.col("n_chars") - LIMIT_NEAR, F.col("n_chars") + LIMIT_NEAR)).alias("_n"), F.signum(F.col("n_chars") - F.col("_n")).alias("side"), "at")
+
+    def of(side: int) -> Column:
+        return F.when(F.col("side") == side, F.col("at"))
+
+    def median(counts: str, lengths: Column) -> Column:
+        return F.coalesce(F.get(counts, F.floor(lengths / 2).cast("int")), F.lit(0))
+
+    near = moved.groupBy(*keys, F.col("_n").alias("n_chars")).agg(F.max(of(0)).alias("at"), *(F.sort_array(F.collect_list(of(k)), asc=False).alias(name) for k, name in ((-1, "below"), (1, "above"))))
+    usual = F.greatest(median("below", F.least(F.col("n_chars") - 1, F.lit(LIMIT_NEAR))), median("above", F.lit(LIMIT_NEAR)))
+    return near.where("at is not null").where(F.col("at") >= LIMIT_TIMES * (usual + LIMIT_CHANCE)).select(*keys, "n_chars", "at")
+
+
 def truncated_values(topic: DataFrame) -> DataFrame:
     """(doc_id, topic_ix, field, n_chars, reason) of the values that lost their end.
 
@@ -146,7 +170,7 @@ def truncated_values(topic: DataFrame) -> DataFrame:
     )
     v = cut(v.select("doc_id", "topic_ix", "field", "n_chars", "ends", "inside", reason.alias("reason")))
     # complete-looking values that a longer one continues, at a length at which the field's values are cut
-    limits = v.where("reason is not null").groupBy(F.col("field").alias("_f"), F.col("n_chars").alias("_n")).agg(F.count("*").alias("at")).where(F.col("at") >= LIMIT_VALUES)
+    limits = limit_lengths(v.where("reason is not null"), "field").select(F.col("field").alias("_f"), F.col("n_chars").alias("_n"))
     doubtful = v.where("reason is null and inside is not null and ends").select("doc_id", "topic_ix", "field", "n_chars")
     at_limit = doubtful.join(limits, (F.col("field") == F.col("_f")) & (F.col("n_chars") == F.col("_n"))).select("doc_id", "topic_ix", "field", "n_chars", F.lit("prefix").alias("reason"))
     return v.where("reason is not null").select("doc_id", "topic_ix", "field", "n_chars", "reason").unionAll(at_limit)
@@ -155,12 +179,13 @@ def truncated_values(topic: DataFrame) -> DataFrame:
 def cut_rates(topic: DataFrame, docs: DataFrame) -> DataFrame:
     """(source, field, n_values, n_cut, cut_rate, limit_chars): how often each source cuts, and at which length most.
 
-    ``limit_chars`` is the commonest length of the source's cut values, null where fewer than ``LIMIT_VALUES`` share it.
+    ``limit_chars`` is the commonest length at which the source's cut values pile up, null where they do at none.
     """
     meta = docs.select("doc_id", "source").where("source is not null").dropDuplicates(["doc_id"])
     every = field_values(topic).select("doc_id", "topic_ix", "field").distinct().join(meta, "doc_id").groupBy("source", "field").agg(F.count("*").alias("n_values"))
     bad = truncated_values(topic).groupBy("doc_id", "topic_ix", "field").agg(F.min("n_chars").alias("n_chars")).join(meta, "doc_id")
-    at = bad.groupBy("source", "field", "n_chars").agg(F.count("*").alias("n"))
-    top = at.groupBy("source", "field").agg(F.sum("n").alias("n_cut"), F.max(F.struct("n", F.col("n_chars"))).alias("m"))
-    out = every.join(top, ["source", "field"], "left")
-    return out.select("source", "field", "n_values", F.coalesce("n_cut", F.lit(0)).cast("bigint").alias("n_cut"), F.round(F.coalesce("n_cut", F.lit(0)) / F.col("n_values"), 6).alias("cut_rate"), F.when(F.col("m.n") >= LIMIT_VALUES, F.col("m.n_chars")).alias("limit_chars"))
+    bad = cut(bad.select("source", "field", "n_chars"))  # read twice below
+    top = bad.groupBy("source", "field").agg(F.count("*").alias("n_cut"))
+    limit = limit_lengths(bad, "source", "field").groupBy("source", "field").agg(F.max(F.struct("at", "n_chars")).alias("m"))
+    out = every.join(top, ["source", "field"], "left").join(limit, ["source", "field"], "left")
+    return out.select("source", "field", "n_values", F.coalesce("n_cut", F.lit(0)).cast("bigint").alias("n_cut"), F.round(F.coalesce("n_cut", F.lit(0)) / F.col("n_values"), 6).alias("cut_rate"), F.col("m.n_chars").alias("limit_chars"))

@@ -189,6 +189,24 @@ def test_truncated_values(spark):
     assert truncation.truncated_values(spark.createDataFrame([], TOPIC)).count() == 0
 
 
+def test_length_limits_do_not_depend_on_size(spark):
+    """Cuts by chance on every length make none of them a limit, however many; a complete prefix there is no cut."""
+    complete = {n: ("word " * 40)[: n - 2] + "d." for n in (60, 100)}
+    for times in (1, 12):
+        lengths = [n for n in range(50, 91) for _ in range(times)] + [100] * 30 * times
+        data = [(i, 0, None, None, None, f"{i:05d}" + "x" * (n - 6) + "…", None) for i, n in enumerate(lengths)]
+        data += [(-n, 0, None, None, None, v, None) for n, v in complete.items()] + [(-n - 1, 0, None, None, None, v + " And more of it follows here.", None) for n, v in complete.items()]
+        topic = spark.createDataFrame(data, TOPIC)
+        got = truncation.truncated_values(topic)
+        assert rows(got.where("doc_id < 0").select("doc_id", "reason")) == [(-100, "prefix")]
+        assert got.count() == len(lengths) + 1
+        docs = topic.select("doc_id", F.lit("s").alias("source"))
+        rates = truncation.cut_rates(topic, docs).where("field = 'shortdesc'").select("n_cut", "limit_chars")
+        assert rows(rates) == [(len(lengths) + 1, 100)]
+        even = topic.where("doc_id >= 0 and length(shortdesc) < 100")  # no limit at all
+        assert rows(truncation.cut_rates(even, docs).select("limit_chars")) == [(None,)]
+
+
 def test_prefix_neighbours_against_brute_force(spark):
     rnd = random.Random(2)
     values = ["".join(rnd.choice("ab") for _ in range(rnd.randint(1, 9))) for _ in range(300)]

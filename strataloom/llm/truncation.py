@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
+from os.path import commonprefix
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataloom.plans.checkpoints import cut
@@ -32,38 +34,68 @@ def _ends(text: Column) -> Column:
     return text.rlike(_STOP) & ~text.rlike(_MARK) & _balanced(text)
 
 
+def _letter(char: str) -> bool:
+    return unicodedata.category(char)[0] in "LM"
+
+
 def neighbours(values: DataFrame, column: str = "value") -> DataFrame:
-    """(value, longer): each distinct value with the next one in sorted order, if that one begins with it.
+    """(value, inside): each distinct value that a longer one begins with; does any such one go on with a letter?
 
-    A value is a strict prefix of some other value exactly if it is one of the next in code-unit order. The
-    distinct values are range-partitioned and sorted, so equal prefixes, however many, spread over partitions;
-    the first value of each partition is joined to the last of the one before it (one row per partition).
+    The distinct values are range-partitioned and sorted, so equal prefixes, however many, spread over partitions. All
+    values that begin with one value follow it directly, so a stack of the values that the present one begins with finds
+    them; only the nearest needs to be told of it, as the others go on alike with that one. Between partitions go the
+    stack at the end and, for each prefix of a partition's first value, whether any value there goes on from it with a letter.
     """
     distinct = values.select(F.col(column).alias("value")).distinct()
     parts = max(1, int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ordered = distinct.repartitionByRange(parts, "value").sortWithinPartitions("value").withColumn("part", F.spark_partition_id())
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, part = None, None
+        columns = ["value", "inside", "letters", "part", "kind"]
+        first, letters, part = None, [], 0
+        stack: list[list] = []  # [value, is continued, inside]
+        for pdf in frames:
+            rows = []
+            for v in pdf["value"]:
+                if first is None:
+                    first, letters, part = v, [_letter(c) for c in v], int(pdf["part"].iloc[0])
+                shared = len(commonprefix((first, v)))
+                if shared < min(len(first), len(v)) and _letter(v[shared]):
+                    letters[shared] = True
+                while stack and not v.startswith(stack[-1][0]):
+                    value, continued, inside = stack.pop()
+                    if continued:
+                        rows.append((value, inside, None, part, "pair"))
+                if stack:
+                    top = stack[-1]
+                    top[1], top[2] = True, top[2] or _letter(v[len(top[0])])
+                stack.append([v, False, False])
+            yield pd.DataFrame(rows, columns=columns)
+        if first is not None:
+            rows = [(first, None, "".join("01"[x] for x in letters), part, "first")]
+            # values that may go on in the next partition
+            yield pd.DataFrame(rows + [(value, inside if continued else None, None, part, "open") for value, continued, inside in stack], columns=columns)
+
+    def join_edges(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        waiting: list[list] = []  # [value, inside or None where nothing goes on yet]
         for pdf in frames:
-            if not len(pdf):
-                continue
-            v = ([held] if held is not None else []) + pdf["value"].tolist()
-            out = [(a, b) for a, b in zip(v, v[1:]) if b.startswith(a)]
-            first = v[0] if held is None else None
-            held, part = v[-1], int(pdf["part"].iloc[0])
-            rows = [(a, b, part, "pair") for a, b in out]
-            if first is not None:
-                rows.append((first, None, part, "first"))
-            yield pd.DataFrame(rows, columns=["value", "longer", "part", "kind"])
-        if held is not None:
-            yield pd.DataFrame([(held, None, part, "last")], columns=["value", "longer", "part", "kind"])
-
-    got = cut(ordered.mapInPandas(scan, "value string, longer string, part int, kind string"))
-    pairs = got.where("kind = 'pair'").select("value", "longer")
-    # at most two rows per partition; "first" sorts before "last", so the row after a last one is the next partition's first
-    edges = got.where("kind <> 'pair'").withColumn("next", F.lead("value").over(Window.partitionBy(F.lit(0)).orderBy("part", "kind")))
-    return pairs.unionAll(edges.where("kind = 'last' and startswith(next, value)").select("value", F.col("next").alias("longer")))
+            done = []
+            for value, inside, letters, kind in zip(pdf["value"], pdf["inside"], pdf["letters"], pdf["kind"], strict=True):
+                if kind == "first":
+                    while waiting and not value.startswith(waiting[-1][0]):
+                        done.append(waiting.pop())
+                    for x in waiting:
+                        x[1] = bool(x[1]) or letters[len(x[0])] == "1"
+                else:
+                    waiting.append([value, None if pd.isna(inside) else bool(inside)])
+            yield pd.DataFrame([x for x in done if x[1] is not None], columns=["value", "inside"])
+        yield pd.DataFrame([x for x in waiting if x[1] is not None], columns=["value", "inside"])
+
+    got = cut(ordered.mapInPandas(scan, "value string, inside boolean, letters string, part int, kind string"))
+    pairs = got.where("kind = 'pair'").select("value", "inside")
+    # a few rows per partition, in one task: its first value, and the last one with those that it begins with
+    edges = got.where("kind <> 'pair'").repartition(1).sortWithinPartitions("part", "kind", "value")
+    return pairs.unionAll(edges.mapInPandas(join_edges, "value string, inside boolean"))
 
 
 def sentence_odds(unknown: DataFrame, sentences: DataFrame, phrases: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -158,9 +190,8 @@ def truncated_values(topic: DataFrame) -> DataFrame:
     phrases = topic.where("title is not null").select(F.col("title").alias("value"))
     odds = sentence_odds(loose, sentences, phrases)
     # the prefix self-join, on all values without markup (markup that stops before its end is never closed)
-    near = neighbours(v.where("not xml")).select(F.col("value").alias("_v"), "longer")
-    goes_on = F.expr("substring(longer, length(_v) + 1, 1)").rlike(r"[\p{L}\p{M}]") & F.col("_v").rlike(r"[\p{L}\p{M}]$")
-    near = near.select(F.xxhash64("_v").alias("_id"), goes_on.alias("inside"))
+    near = neighbours(v.where("not xml"))
+    near = near.select(F.xxhash64("value").alias("_id"), (F.col("inside") & F.col("value").rlike(r"[\p{L}\p{M}]$")).alias("inside"))
     v = v.join(odds, "id", "left").join(near, F.col("id") == F.col("_id"), "left")
     reason = (
         F.when(F.col("sure").isNotNull(), F.col("sure"))

@@ -216,6 +216,28 @@ def test_prefix_neighbours_against_brute_force(spark):
     assert truncation.neighbours(df.limit(0)).count() == 0
 
 
+def test_every_longer_copy_is_looked_at(spark):
+    rnd = random.Random(3)
+    values = ["".join(rnd.choice("ab. é") for _ in range(rnd.randint(1, 7))) for _ in range(400)] + ["q" + "." * k + x for k in range(9) for x in ("", "z")]
+    want = {}
+    for v in set(values):
+        after = [w[len(v)] for w in values if w != v and w.startswith(v)]
+        if after:
+            want[v] = any(c.isalpha() for c in after)
+    df = spark.createDataFrame([(v,) for v in values], "value string").repartition(3)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts in (1, 4, 60):  # runs of one prefix lie across partitions
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            got = truncation.neighbours(df).collect()
+            assert len(got) == len(want) and {r["value"]: r["inside"] for r in got} == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    texts = ["Manage the Acc", "Manage the Acc...", "Manage the Accounts"]  # '.' sorts before letters
+    topic = spark.createDataFrame([(i, 0, "Manage the Acc", None, None, v, None) for i, v in enumerate(texts)], TOPIC)
+    assert rows(truncation.truncated_values(topic).select("doc_id", "reason")) == [(0, "prefix"), (1, "mark")]
+
+
 # -- 5 splitting
 
 

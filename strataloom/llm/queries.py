@@ -24,7 +24,7 @@ def p1_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
-    return boilerplate.repeated_lines(table(spark, sf, "block"), table(spark, sf, "documents")).select("doc_id", "pos", "line_ix").distinct()
+    return boilerplate.repeated_lines(table(spark, sf, "block"), table(spark, sf, "documents"), **boilerplate.WHOLE).select("doc_id", "pos", "line_ix").distinct()
 
 
 def p2_lines(spark: SparkSession, sf: str) -> DataFrame:

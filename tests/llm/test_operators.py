@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from strataloom.llm import boilerplate, canonical, keywords, leaks, levels, packing, scans, splitting, truncation
+from strataloom.llm import boilerplate, canonical, keywords, leaks, levels, packing, queries, scans, splitting, truncation
 from strataloom.plans.skew import count_join
 
 BLOCK = "doc_id bigint, pos int, type string, text string, page int, level int"
@@ -93,6 +93,19 @@ def test_republished_text_is_no_boilerplate(spark):
     assert boilerplate.repeated_lines(block.limit(0), docs).count() == 0
 
 
+def test_thresholds_alone_decide_p2_found(spark, tmp_path):
+    """A source captured on one day, or with copies of one text only, has repeated lines too."""
+    day = F.to_timestamp(F.lit("2024-01-01"))
+    docs = spark.createDataFrame([(i, "same text" if i < 4 else f"t{i}", "en", "s" if i < 4 else "o", "t", None, None) for i in range(8)], DOCS).withColumn("captured_at", day)
+    block = spark.createDataFrame([(i, 0, "paragraph", "Share this page" if i < 4 else "All rights reserved", 1, 0) for i in range(8)], BLOCK)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    block.write.parquet(str(tmp_path / "block.parquet"))
+    query = queries.queries()
+    assert rows(query["p2_found"](spark, str(tmp_path))) == [(i, 0, 0) for i in range(8)]
+    assert rows(query["p2_lines"](spark, str(tmp_path)).select("source", "n_docs", "n_texts", "n_days")) == [("o", 4, 4, 1), ("s", 4, 1, 1)]
+    assert {r["text"] for r in query["p2_clean"](spark, str(tmp_path)).collect()} == {""}
+
+
 # -- 3 scanned text
 
 CLEAN = "every monthly account validates the default settings of the approval while the manual balance filters including internal words"

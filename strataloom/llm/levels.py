@@ -57,11 +57,12 @@ def tokens(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     per_line = np.bincount(line, minlength=len(line_start))
     prose = ended & (per_line >= 4)
     # an unended line of 4 or more words directly before a prose line is its first part
-    for _ in range(64):
-        joined = (line_end[:-1] + 1 >= line_start[1:]) & (line_row[:-1] == line_row[1:]) & ~ended[:-1] & prose[1:] & (per_line[:-1] >= 6) & ~prose[:-1]
-        if not joined.any():
-            break
-        prose[:-1] |= joined
+    if len(line_start):
+        gap = line_start[1:] - line_end[:-1]
+        one_end = (gap <= 1) | ((gap == 2) & (cp[line_end[:-1]] == 13) & (cp[line_start[1:] - 1] == 10))
+        joined = np.append(one_end & (line_row[:-1] == line_row[1:]) & ~ended[:-1] & (per_line[:-1] >= 6), False)
+        last_of = np.flatnonzero(~joined)  # the last line of each run of joined ones
+        prose = prose[last_of[np.searchsorted(last_of, np.arange(len(joined)))]]
     keep = prose[line]
     has = np.bincount(row, weights=keep, minlength=rows) > 0
     keep |= ~has[row]

@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -454,3 +455,13 @@ def test_long_row_next_to_short_ones():
     row, token, weight, n = levels.tokens(pa.array(["a b c.", "word " * 300_000 + ".", None]))
     assert n.tolist() == [3, 300_001, 0] or n.tolist() == [3, 300_001, 0]
     assert len(row) == len(token) == len(weight) and isinstance(pd.Series(row).max(), (int, np.integer))
+
+
+@pytest.mark.parametrize("n", [2, 30, 100])
+def test_wrapped_paragraphs_are_read_whatever_their_line_ends_and_length(n):
+    lines = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)} and five more words follow," for i in range(n - 1)] + ["which ends the long sentence here."]
+    row, token, weight, _ = levels.tokens(pa.array([sep.join(lines) for sep in (" ", "\n", "\r\n", "\r")]))
+    found = [sorted(zip(token[row == i].tolist(), weight[row == i].tolist(), strict=True)) for i in range(4)]
+    assert found[0] == found[1] == found[2] == found[3]
+    row, token, _, _ = levels.tokens(pa.array([sep.join(lines[:1] + [""] + lines[1:]) for sep in ("\n", "\r\n")]))  # a blank line divides
+    assert sorted(token[row == 0].tolist()) == sorted(token[row == 1].tolist()) and (row == 0).sum() < len(found[0])

@@ -92,12 +92,10 @@ def lower_bound(sizes: np.ndarray, capacity: int) -> int:
     for k in range(1, 21):  # rounds sizes down to multiples of 1/k, exact multiples of 1/(k+1) kept
         m, rest = np.divmod((k + 1) * x, capacity)
         best = max(best, -(-int((np.where(rest == 0, m * k, m * (k + 1)) * n).sum()) // (k * (k + 1))))
-    for low in np.unique(np.concatenate([x[2 * x <= capacity], capacity - x[2 * x > capacity]])):  # large ones count whole, small ones not
-        f = np.where(x > capacity - low, capacity, np.where(x < low, 0, x))
-        best = max(best, -(-int((f * n).sum()) // capacity))
-        if len(x) > 4000:  # thresholds beyond this many sizes add nothing measurable
-            break
-    return best
+    low = np.unique(np.concatenate([x[2 * x <= capacity], capacity - x[2 * x > capacity]]))  # large ones count whole, small ones not
+    tokens, count = (np.concatenate([[0], np.cumsum(v)]) for v in (x * n, n))  # of the first so many sizes
+    small, whole = np.searchsorted(x, low), np.searchsorted(x, capacity - low, side="right")
+    return max(best, -(-int((tokens[whole] - tokens[small] + capacity * (count[-1] - count[whole])).max()) // capacity))
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:

@@ -465,3 +465,11 @@ def test_wrapped_paragraphs_are_read_whatever_their_line_ends_and_length(n):
     assert found[0] == found[1] == found[2] == found[3]
     row, token, _, _ = levels.tokens(pa.array([sep.join(lines[:1] + [""] + lines[1:]) for sep in ("\n", "\r\n")]))  # a blank line divides
     assert sorted(token[row == 0].tolist()) == sorted(token[row == 1].tolist()) and (row == 0).sum() < len(found[0])
+
+
+def test_bound_uses_every_threshold_however_many_sizes():
+    sizes = np.concatenate([np.arange(14001, 18501), np.repeat(np.arange(6000, 6600), 10)])  # no two of them share a container but small ones
+    x, n = np.unique(sizes, return_counts=True)
+    low = 6000
+    want = -(-int((np.where(x > 20000 - low, 20000, np.where(x < low, 0, x)) * n).sum()) // 20000)
+    assert packing.lower_bound(sizes, 20000) >= want > 4500 + 1000

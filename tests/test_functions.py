@@ -28,6 +28,8 @@ CASES = [
     (T.unescape_quotes, 'class=\\"x\\"', 'class="x"'),
     (T.close_class_attribute, '<p class="x" "text</p>', '<p class="x">text</p>'),
     (T.escape_tags_in_attributes, '<a href="see <topic> or <x />">', '<a href="see &lt;topic> or &lt;x />">'),
+    (T.escape_tags_in_attributes, '<p>x <b> "q" <c></p><a href="' + "<t> < " * 30 + '" b="<i/>" c="y">', '<p>x <b> "q" <c></p><a href="' + "&lt;t> < " * 30 + '" b="&lt;i/>" c="y">'),
+    (T.escape_tags_in_attributes, '<b> x="' + "<b>" * 9, '<b> x="' + "&lt;b>" * 9),
     (T.collapse_double_close, "<entry>a</entry> </entry></row>\n</row>", "<entry>a</entry></row>"),
     (T.fill_table_groups, "<tgroup><thead/></tgroup><tgroup><tbody/></tgroup>x", "<tgroup><thead/>" + T.EMPTY_TBODY + "</tgroup><tgroup><tbody/></tgroup>x"),
     (T.strip_doctype, '<!DOCTYPE a SYSTEM "x"><a/>', "<a/>"),

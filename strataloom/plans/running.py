@@ -23,3 +23,19 @@ def running_total(df: DataFrame, group: str, order: str, value: Column, name: st
     inside = Window.partitionBy(group, "_cut").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     joined = rows.withColumn("_here", F.sum("_v").over(inside)).join(sums, (F.col(group) == F.col("_g")) & (F.col("_cut") == F.col("_c")))
     return joined.withColumn(name, F.col("_here") + F.col("_before")).select(*df.columns, name)
+
+
+def next_value(df: DataFrame, group: str, order: str, value: Column, name: str, stretch: int = STRETCH) -> DataFrame:
+    """``df`` with ``name``: the first ``value`` that is not null in the rows of its group after the row, by ``order``.
+
+    Worked out inside stretches of ``order`` values, as in ``running_total``; what a stretch does not hold comes from the
+    first values of the stretches, one row each.
+    """
+    rows = df.withColumn("_v", value).withColumn("_cut", F.floor(F.col(order) / stretch))
+    back = Window.partitionBy(group, "_cut").orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, -1)
+    firsts = rows.where("_v is not null").groupBy(group, "_cut").agg(F.min_by("_v", order).alias("_f"))
+    every = rows.select(group, "_cut").distinct().join(firsts, [group, "_cut"], "left")
+    later = Window.partitionBy(group).orderBy(F.desc("_cut")).rowsBetween(Window.unboundedPreceding, -1)
+    every = every.select(F.col(group).alias("_g"), F.col("_cut").alias("_c"), F.last("_f", ignorenulls=True).over(later).alias("_later"))
+    joined = rows.withColumn("_here", F.last("_v", ignorenulls=True).over(back)).join(every, (F.col(group) == F.col("_g")) & (F.col("_cut") == F.col("_c")))
+    return joined.withColumn(name, F.coalesce("_here", "_later")).select(*df.columns, name)

@@ -10,8 +10,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from strataloom.llm import boilerplate, canonical, keywords, leaks, levels, packing, queries, scans, splitting, truncation
-from strataloom.plans.skew import count_join
+from strataloom.llm import boilerplate, canonical, keywords, leaks, levels, packing, queries, scans, splitting, trie, truncation
+from strataloom.plans.skew import count_join, hot_keys
 
 BLOCK = "doc_id bigint, pos int, type string, text string, page int, level int"
 DOCS = "doc_id bigint, text string, lang string, source string, title string, doc_kind string, captured_at timestamp"
@@ -55,6 +55,13 @@ def test_count_join_keeps_every_row(spark):
     stats = spark.createDataFrame([("h", 50, "H"), ("c", 1, "C")], "k string, n bigint, s string")
     want = sorted([("h", i, 50, "H") for i in range(50)] + [("c", 1, 1, "C")])
     assert rows(count_join(left, stats, "k", "n", F.col("v"), 10)) == rows(count_join(left, stats, "k", "n", F.col("v"), 1000)) == sorted(want, key=repr)
+    assert rows(count_join(left, stats, "k", "n", F.col("v"), 1, 1)) == sorted(want, key=repr)
+
+
+def test_what_count_join_broadcasts_does_not_grow(spark):
+    for n in (50, 5000):
+        hot = hot_keys(spark.range(n).select(F.col("id").alias("k"), F.lit(1_000_000).alias("n")), "k", "n", max_hot=20)
+        assert hot.count() == 20
 
 
 # -- 2 repeated lines
@@ -139,7 +146,7 @@ def test_scanned_pages(spark):
 
 
 def test_long_document_is_worked_on_in_stretches(spark):
-    n = scans.BUCKET * 2 + 30
+    n = scans.STRETCH * 2 + 30
     block, docs = _scan(spark, [(i, "paragraph", "the manual bal-" if i % 2 == 0 else "ance of words") for i in range(n)])
     got = {r["pos"]: r for r in scans.repaired_scans(block, docs).collect()}
     assert len(got) == n
@@ -149,7 +156,7 @@ def test_long_document_is_worked_on_in_stretches(spark):
 @given(st.text("acdelmnoirshu015", min_size=1, max_size=7))
 @settings(max_examples=200, deadline=None)
 def test_automaton_finds_every_word_in_reach(word):
-    vocabulary = scans.Vocabulary({w: 1 for w in ("old", "mode", "house", "lime", "dhole", "so", "clone", "hum", "rum", "code")})
+    vocabulary = trie.Vocabulary({w: 1 for w in ("old", "mode", "house", "lime", "dhole", "so", "clone", "hum", "rum", "code")})
 
     def distance(a, b, n):  # words reachable by n confusions at most, by trying them all
         reach = {(0, "")}
@@ -159,7 +166,7 @@ def test_automaton_finds_every_word_in_reach(word):
             i, out = stack.pop()
             c = best[i, out]
             steps = [(i + 1, out + a[i], c)] if i < len(a) else []
-            steps += [(i + len(x), out + y, c + 1) for x, y in scans.CONFUSIONS if i < len(a) and a.startswith(x, i)]
+            steps += [(i + len(x), out + y, c + 1) for x, y in trie.CONFUSIONS if i < len(a) and a.startswith(x, i)]
             for j, o, k in steps:
                 if k <= n and b.startswith(o) and k < best.get((j, o), n + 1):
                     best[j, o] = k
@@ -167,7 +174,7 @@ def test_automaton_finds_every_word_in_reach(word):
         return best.get((len(a), b))
 
     want = {(w, d) for w in vocabulary.words if (d := distance(word, w, 2))}
-    assert {(w, c) for w, c, e in vocabulary.candidates(word) if not e} == want
+    assert {(w, c) for w, c, e in vocabulary.candidates(word, confused=2) if not e} == want
 
 
 def _levenshtein(a, b):
@@ -182,10 +189,60 @@ def _levenshtein(a, b):
 @given(st.text("abc", max_size=6), st.sets(st.text("abc", min_size=1, max_size=6), min_size=1, max_size=12))
 @settings(max_examples=150, deadline=None)
 def test_automaton_with_plain_edits(word, known):
-    got = {(w, e) for w, c, e in scans.Vocabulary({w: 1 for w in known}).candidates(word, confused=0, edits=2)}
+    got = {(w, e) for w, c, e in trie.Vocabulary({w: 1 for w in known}).candidates(word, confused=0, edits=2)}
     assert got == {(w, d) for w in known if 0 < (d := _levenshtein(word, w)) <= 2}
 
 
+_KNOWN = ("statement", "account", "acount", "command", "communication", "counterparties", "misunderstanding", "mode", "rm", "illumination")
+
+
+@given(st.sampled_from(_KNOWN), st.lists(st.tuples(st.integers(0, 40), st.sampled_from("adi"), st.sampled_from("aceilmnrsuw")), max_size=2), st.lists(st.integers(0, 40), max_size=2))
+@settings(max_examples=300, deadline=None)
+def test_every_word_in_reach_lies_on_the_routes(word, edits, confused):
+    key = word
+    for at in confused:  # print characters wrongly
+        x, y = (p := [(x, y) for x, y in trie.CONFUSIONS if y in key] or [("", "")])[at % len(p)]
+        key = key.replace(y, x, 1) if y else key
+    plain = 0
+    for at, kind, ch in edits[: trie.plain_edits(key)]:
+        i = at % max(1, len(key))
+        key = key[:i] + {"a": ch + key[i:], "d": key[i + 1 :], "i": ch + key[i + 1 :]}[kind]
+        plain += 1
+    if plain <= trie.plain_edits(key):
+        assert set(trie.homes(word)) & set(trie.routes(key))
+
+
+@pytest.mark.parametrize(("tries", "tasks"), [(1000, 1000), (2, 1), (1, 2)])
+def test_near_words_against_one_trie(spark, tries, tasks):
+    rnd = random.Random(3)
+    known = sorted({"".join(rnd.choice("acdelmnortu") for _ in range(rnd.randint(2, 15))) for _ in range(60)} | set(_KNOWN))
+    keys = {"statemnt", "staternent", "acount", "tcomrnand", "rnisunderstandlng", "comunicatlon", "rnode", "zzz", "acc", "counterpartes"}
+    keys |= {w[:i] + w[i + 1 :] for w in known for i in (0, len(w) // 2, len(w) - 1)} - {"", *known}
+    got = trie.near_words(spark.createDataFrame([(k, True) for k in sorted(keys)], "key string, last boolean"), spark.createDataFrame([(w, 5) for w in known], "word string, n bigint"), tries, tasks).collect()
+    whole = trie.Vocabulary(known)
+    want = {(k, w, c, e) for k in keys for w, c, e in whole.candidates(k, edits=trie.plain_edits(k))}
+    assert {(r["key"], r["word"], r["confused"], r["edits"]) for r in got if r["word"]} == want
+    assert {r["key"] for r in got if r["continues"]} == {k for k in keys if len(trie.skeleton(k)) > 1 and whole.continues(k)}
+    assert ("statemnt", "statement", 0, 1) in want and ("rnode", "mode", 1, 0) in want and ("tcomrnand", "command", 1, 1) in want
+
+
+def test_plain_edits_count_where_the_neighbours_speak_for_them(spark):
+    docs = spark.createDataFrame([(i, "the monthly statement of the account", "en", "s", None, None, None) for i in range(100, 104)] + [(1, None, "en", "s", "A title here", "pdf_scan", None)], DOCS)
+    block = spark.createDataFrame([(1, 0, "paragraph", "the monthly statemnt of", 1, 0), (1, 1, "paragraph", "Mr Statemnt left", 1, 0), (1, 2, "paragraph", "monthly staternent", 1, 0), (1, 3, "paragraph", "the acount", 1, 0), (1, 4, "paragraph", "monthly statemnt5", 1, 0)], BLOCK)
+    got = {r["pos"]: (r["kinds"], r["text"]) for r in scans.repaired_scans(block, docs).collect()}
+    assert got[0] == (["misread"], "the monthly statement of") and got[2] == (["misread"], "monthly statement") and got[3] == (["misread"], "the account")
+    assert got[1] == ([], "Mr Statemnt left") and got[4] == ([], "monthly statemnt5")
+
+
+def test_scans_beyond_the_broadcast_and_long_lines(spark):
+    long = "words " * 100
+    block, docs = _scan(spark, [(0, "heading", "Manual Account Settings"), (1, "paragraph", f"{long}\n17\n{long}"), (2, "paragraph", f"{long} bal-"), (3, "image", None), (4, "paragraph", "ance."), (5, "paragraph", f"{long}4 Manual Account Settings {long}")])
+    for broadcast, common in ((10, 1000), (0, 0)):
+        got = {r["pos"]: (r["kinds"], r["text"]) for r in scans.repaired_scans(block, docs, common_words=common, max_broadcast=broadcast, hot_rows=3).collect()}
+        assert got[1] == (["page_number"], (long + long).strip()) and got[2] == (["split_word"], f"{long} balance.") and got[4] == ([], None)
+        assert got[5] == (["page_number", "running_head"], (long + long).strip())
+
+
 # -- 4 truncation
 
 

@@ -11,16 +11,22 @@ ROW_BITS = 32_768
 
 
 def bit_filter(keys: DataFrame, key: str, bits: int) -> np.ndarray:
-    """Booleans, one per value of the lowest ``bits`` bits of the bigint column ``key``: does any key have it?
+    """One bit per value of the lowest ``bits`` bits of the bigint column ``key``, packed into bytes: does any key have it?
 
     At most 2 ** bits / 32768 rows of 4 KB reach the driver, however many keys there are; they are combined before and
-    in the shuffle. More keys only make the filter let more rows pass.
+    in the shuffle. More keys only make the filter let more rows pass (see ``passes``).
     """
     at = keys.where(F.col(key).isNotNull()).select(F.col(key).bitwiseAND(F.lit((1 << bits) - 1)).alias("at"))
     row = F.floor(F.col("at") / ROW_BITS)
     rows = at.groupBy(row.alias("row")).agg(F.bitmap_construct_agg(F.col("at") % ROW_BITS).alias("bitmap")).collect()
-    out = np.zeros(max(1 << bits, ROW_BITS), bool)
+    out = np.zeros(max(1 << bits, ROW_BITS) // 8, np.uint8)
     for r in rows:
-        start = int(r["row"]) * ROW_BITS
-        out[start : start + ROW_BITS] = np.unpackbits(np.frombuffer(bytes(r["bitmap"]), np.uint8), bitorder="little")
+        start = int(r["row"]) * ROW_BITS // 8
+        out[start : start + ROW_BITS // 8] = np.frombuffer(bytes(r["bitmap"]), np.uint8)
     return out
+
+
+def passes(packed: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
+    """Which of the int64 ``keys`` may be among those that the filter was made of; false only for those that are not."""
+    at = keys & ((1 << bits) - 1)
+    return (packed[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1

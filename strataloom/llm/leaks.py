@@ -6,13 +6,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataloom.llm.npwords import chunks, hashed_words, mix
+from strataloom.plans.checkpoints import cut
+from strataloom.plans.filters import bit_filter, passes
 
-#: Characters of test items held in one broadcast index; larger test sets are run in several blocks.
+#: Characters of test items that one broadcast index may hold; fingerprints of larger test sets are joined by a shuffle.
 BLOCK_CHARS = 8_000_000
+#: Bits of the filter through which fingerprints of the corpus go before that shuffle (32 MB).
+SIEVE_BITS = 28
 #: Bits of the filter that rejects most fingerprints before the search.
 FILTER_BITS = 22
 #: Elements compared at once.
@@ -125,8 +129,10 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     replacements always holds such a run: (span - replaced) / (replaced + 1) rounded up must be that long.
     Shared fingerprints are joined, lined up, and each line-up is compared word by word, which is exact.
 
-    The corpus is never shuffled. The test items are indexed in blocks of ``BLOCK_CHARS`` characters, each
-    broadcast within that bound and run against all documents.
+    The corpus is read once and its texts are never shuffled. Test items of up to ``BLOCK_CHARS`` characters are one broadcast
+    index, which the corpus is searched with in place. Of larger ones, the fingerprints become a filter of fixed
+    size, and those fingerprints of the corpus that pass it are joined with them, each with the words around it, which is all
+    that the comparison needs (``joined_leaks``). Both ways give the same rows.
 
     Null or empty texts, items shorter than ``span`` words and an empty table give no rows. Rows delivered
     twice give the same stretch once. Extra columns are ignored.
@@ -138,25 +144,82 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     corpus = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).where("text is not null and text <> ''")
     tests = items.select(F.col(item_id).cast("bigint").alias("item_id"), F.col(item_text).cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
     total = tests.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
-    blocks = max(1, -(-total // BLOCK_CHARS))
-    parts = []
-    for block in range(blocks):
-        chosen = tests.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).collect() if total else []
-        index = spark.sparkContext.broadcast(Index([r["item_id"] for r in chosen], [r["text"] for r in chosen], k, window))
-
-        def search(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part in chunks(batch, "text"):
-                    row, words = hashed_words(part.column("text"))
-                    ids = part.column("doc_id").to_numpy(zero_copy_only=False)
-                    for doc, item, p, q, n in leaks(index.value, row, words, k, window, span, replaced):
-                        yield pa.RecordBatch.from_arrays([pa.array(ids[doc], pa.int64()), pa.array(index.value.ids[item], pa.int64()), *(pa.array(x, pa.int64()) for x in (p, q, n))], names=["doc_id", "item_id", "doc_word", "item_word", "n_words"])
-
-        parts.append(corpus.mapInArrow(search, SCHEMA))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionAll(part)
-    return out.distinct()
+    if total > BLOCK_CHARS:
+        return joined_leaks(corpus, tests, span, replaced, k, window)
+    chosen = tests.collect() if total else []
+    index = spark.sparkContext.broadcast(Index([r["item_id"] for r in chosen], [r["text"] for r in chosen], k, window))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, "text"):
+                row, words = hashed_words(part.column("text"))
+                ids = part.column("doc_id").to_numpy(zero_copy_only=False)
+                for doc, item, p, q, n in leaks(index.value, row, words, k, window, span, replaced):
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[doc], pa.int64()), pa.array(index.value.ids[item], pa.int64()), *(pa.array(x, pa.int64()) for x in (p, q, n))], names=["doc_id", "item_id", "doc_word", "item_word", "n_words"])
+
+    return corpus.mapInArrow(search, SCHEMA).distinct()
+
+
+def fingerprints(texts: DataFrame, key: str, blank: int, span: int, k: int, window: int, sieve: np.ndarray | None = None) -> DataFrame:
+    """(print, key, at, around): the winnowed fingerprints of each text, or those that pass ``sieve``.
+
+    ``around`` are the hashes of the words that a span with the fingerprint can reach, ``blank`` beyond the ends of the text.
+    """
+    packed = None if sieve is None else texts.sparkSession.sparkContext.broadcast(sieve)
+    names = ["print", key, "at", "around"]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, "text"):
+                row, words = hashed_words(part.column("text"))
+                grams = kgrams(words, k)
+                if not len(grams):
+                    continue
+                at = winnow(grams, row, k, window)
+                if packed is not None:
+                    at = at[passes(packed.value, grams[at].view(np.int64), SIEVE_BITS)]
+                ids = part.column(key).to_numpy(zero_copy_only=False)
+                starts = np.searchsorted(row, np.arange(part.num_rows + 1))
+                for i in range(0, len(at), STEP // 16):
+                    some = at[i : i + STEP // 16]
+                    where = some[:, None] + np.arange(k - span, span)
+                    inside = (where >= starts[row[some]][:, None]) & (where < starts[row[some] + 1][:, None])
+                    around = np.where(inside, words[np.clip(where, 0, len(words) - 1)], np.uint64(blank))
+                    yield pa.RecordBatch.from_arrays([pa.array(grams[some].view(np.int64)), pa.array(ids[row[some]], pa.int64()), pa.array(some - starts[row[some]], pa.int64()), pa.array([x.tobytes() for x in around], pa.binary())], names=names)
+
+    return texts.select(key, "text").mapInArrow(read, f"print bigint, {key} bigint, at bigint, around binary")
+
+
+def joined_leaks(corpus: DataFrame, tests: DataFrame, span: int, replaced: int, k: int, window: int) -> DataFrame:
+    """The stretches of ``find_leaks``, by a join of fingerprints.
+
+    A span with its replacements holds a fingerprint of both texts, so every one is seen in the words around some
+    pair of equal fingerprints; successive spans on one line then make up a stretch. Fingerprints that very many places share are
+    split by the adaptive skew join.
+    """
+    mine = cut(fingerprints(tests, "item_id", 1, span, k, window))
+    sieve = bit_filter(mine, "print", SIEVE_BITS)
+    theirs = fingerprints(corpus, "doc_id", 2, span, k, window, sieve)
+    both = theirs.join(mine.select("print", "item_id", F.col("at").alias("item_at"), F.col("around").alias("item_around")), "print")
+    width = 2 * span - k
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(-1, width) for i in (2, 5))
+            same = a == b
+            sums = np.concatenate([np.zeros((len(same), 1), np.int64), np.cumsum(same, axis=1)], axis=1)
+            good = same[:, : width - span + 1] & same[:, span - 1 :] & (sums[:, span:] - sums[:, :-span] >= span - replaced)
+            row, j = np.nonzero(good)
+            doc, p, item, q = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3, 4))
+            first = q[row] + k - span + j
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (doc[row], item[row], (p - q)[row], first)], names=["doc_id", "item_id", "shift", "first"])
+
+    spans = both.select("doc_id", "at", "around", "item_id", "item_at", "item_around").mapInArrow(compare, "doc_id bigint, item_id bigint, shift bigint, first bigint").distinct()
+    line = Window.partitionBy("doc_id", "item_id", "shift").orderBy("first")  # at most the words of one item
+    runs_of = spans.withColumn("run", F.col("first") - F.row_number().over(line)).groupBy("doc_id", "item_id", "shift", "run").agg(F.min("first").alias("first"), F.count("*").alias("n"))
+    return runs_of.select("doc_id", "item_id", (F.col("first") + F.col("shift")).alias("doc_word"), F.col("first").alias("item_word"), (F.col("n") + span - 1).alias("n_words"))
 
 
 def leaked_pairs(docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from strataloom.llm.canonical import canonical
 from strataloom.llm.npwords import category_table, chunks, codepoints, lower_table, mix, runs, span_hashes
 from strataloom.llm.trie import fold_case, morph, near_words, skeleton
 from strataloom.plans.checkpoints import cut
-from strataloom.plans.filters import bit_filter
+from strataloom.plans.filters import bit_filter, passes
 from strataloom.plans.running import next_value, running_total
 from strataloom.plans.skew import HOT_ROWS, count_join, fits
 
@@ -302,7 +302,7 @@ def pair_counts(texts: tuple[DataFrame, ...], wanted: DataFrame) -> DataFrame:
                 row, start, end = runs(category_table("L M")[cp], offsets)
                 h = span_hashes(lower_table()[cp], start, end)
                 pair = _pairs(h[:-1], h[1:])[row[:-1] == row[1:]].view(np.int64)
-                got, n = np.unique(pair[sieve.value[pair & ((1 << PAIR_BITS) - 1)]], return_counts=True)
+                got, n = np.unique(pair[passes(sieve.value, pair, PAIR_BITS)], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(got, pa.int64()), pa.array(n.astype(np.int64))], names=["pair", "n"])
 
     every = texts[0].select("text")

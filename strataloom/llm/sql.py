@@ -73,5 +73,18 @@ or regexp_matches(text, '\p{{Latin}}[\p{{L}}\p{{M}}]*{_ALPHABETS}|{_ALPHABETS}[\
 """
 
 
+# A span of 20 words with at most two replaced holds six equal words in a row: lines through those are compared word by word.
+P8_FOUND = r"""
+with d as (select doc_id, unnest(w) as w, unnest(range(len(w))) as p from (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+') as w from (select distinct doc_id, text from documents where text is not null))),
+i as (select item_id, unnest(w) as w, unnest(range(len(w))) as q from (select item_id, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+') as w from (select distinct item_id, text from eval_item where text is not null))),
+dg as (select doc_id, p, concat_ws(' ', w, lead(w, 1) over n, lead(w, 2) over n, lead(w, 3) over n, lead(w, 4) over n, lead(w, 5) over n) as g from d window n as (partition by doc_id order by p)),
+ig as (select item_id, q, concat_ws(' ', w, lead(w, 1) over n, lead(w, 2) over n, lead(w, 3) over n, lead(w, 4) over n, lead(w, 5) over n) as g from i window n as (partition by item_id order by q)),
+lines as (select distinct doc_id, item_id, p - q as shift from dg join ig using (g)),
+same as (select doc_id, item_id, shift, q, (d.w = i.w)::int as s from lines join i using (item_id) join d using (doc_id) where d.p = i.q + shift),
+spans as (select *, sum(s) over f as n, count(*) over f as m, last_value(s) over f as l from same window f as (partition by doc_id, item_id, shift order by q rows between current row and 19 following))
+select distinct doc_id, item_id from spans where m = 20 and n >= 18 and s = 1 and l = 1
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND, "p1_scores": P1_SCORES, "p2_found": P2_FOUND, "p2_lines": P2_LINES, "p2_clean": P2_CLEAN, "p5_found": P5_FOUND, "p6_found": P6_FOUND}
+    return {"p1_found": P1_FOUND, "p1_scores": P1_SCORES, "p2_found": P2_FOUND, "p2_lines": P2_LINES, "p2_clean": P2_CLEAN, "p5_found": P5_FOUND, "p6_found": P6_FOUND, "p8_found": P8_FOUND}

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from strataloom.functions.text import slug
 from strataloom.operators import runs as R
-from strataloom.operators import xmltree as X
 from strataloom.plans.tables import table
 from strataloom.queries.registry import query, slug_sql
 from strataloom.queries.topics import _FILES, files
@@ -166,13 +165,6 @@ def j13_zip(spark, sf):
     return o.join(table(spark, sf, "topic_plan").select("doc_id", "topic_ix", "topic_title").distinct(), ["doc_id", "topic_ix"])
 
 
-@query("f16_wrap_text")
-def f16_wrap_text(spark, sf):
-    """F16: short descriptions in lines of 80 characters (greedy filling is no SQL)."""
-    t = table(spark, sf, "topic").select("doc_id", "topic_ix", "shortdesc").distinct()
-    return t.select("doc_id", "topic_ix", X.wrap_text(F.col("shortdesc")).alias("text"))
-
-
 @query("events_by_window", "select time_bucket(interval 1 hour, ts) as hour, event_type, count(*) as n, round(sum(value), 4) as total from events group by all")
 def events_by_window(spark, sf):
     """Tumbling windows over the event stream (batch form of the streaming query)."""

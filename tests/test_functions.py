@@ -1,6 +1,7 @@
 """Literal cases of the scalar functions."""
 
 import re
+import textwrap
 
 import pytest
 from hypothesis import given, settings
@@ -118,10 +119,29 @@ def test_content_model(body, want):
     assert got == want and X.is_well_formed(f"<r>{got}</r>") and X.fix_body(got) == got
 
 
-def test_steps_keep_bare_text_out_of_paragraph_first():
-    assert X.wrap("word " * 40).count("\n") == 2 and X.wrap(None) is None and X.wrap("x" * 200) == "x" * 200
-
-
 def test_tree_columns(spark):
     df = spark.createDataFrame([("<a><b/></a>",), ("<a>",), (None,)], "x string")
     assert [r[0] for r in df.select(X.well_formed(F.col("x"))).collect()] == [True, False, None]
+
+
+@given(st.lists(st.text("ab -\tc", max_size=200), min_size=1, max_size=6))
+@settings(max_examples=15, deadline=None)
+def test_wrapped_lines(spark, texts):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(99, None), (98, "x" * 200 + " y")], "i int, t string")
+    got = {r["i"]: r["w"] for r in df.select("i", T.wrap(F.col("t")).alias("w")).collect()}
+    assert got[99] is None and got[98] == "x" * 200 + "\ny"
+    for i, t in enumerate(texts):
+        assert got[i] == t if len(t) <= 80 else got[i].replace("\n", "").replace(" ", "") == "".join(t.split())
+        assert len(t) <= 80 or all(len(line) <= 80 or " " not in line for line in got[i].split("\n"))
+
+
+def test_wrapping_as_the_standard_library_fills(spark):
+    text = "The year-end run compares any cut-off time " * 9
+    want = textwrap.fill(text, 80, break_long_words=False, replace_whitespace=False)
+    assert spark.createDataFrame([(text,)], "t string").select(T.wrap(F.col("t"))).first()[0] == want
+
+
+@pytest.mark.parametrize(("path", "name"), [("a/b/../x.pdf", "x.pdf"), ("..\\evil.pdf", "evil.pdf"), (None, "upload.pdf"), ("..", "upload.pdf"), ("dir/", "dir"), ("", "upload.pdf")])
+def test_safe_names(spark, path, name):
+    got = spark.createDataFrame([(path,)], "p string").select(T.safe_upload_name(F.col("p"), F.lit("7"))).first()[0]
+    assert re.fullmatch(r"[0-9a-f]{8}_" + re.escape(name), got)

@@ -180,6 +180,50 @@ def resolve_images(refs: DataFrame, stored: DataFrame) -> DataFrame:
     return j.select(*refs.columns, F.coalesce("_f", "_other", "href").alias("target"))
 
 
+REFERENCES = {"xref": r"\.dita$", "image": r"."}
+
+
+def references(files: DataFrame, keys: list[str], xml: str = "xml") -> DataFrame:
+    """(keys, element, href): the distinct targets of links and images in the markup of each file."""
+    found = F.array(*(F.struct(F.lit(e).alias("element"), F.array_distinct(F.regexp_extract_all(xml, F.lit(rf'<{e}\b[^>]*?\bhref="([^"]+)"'), 1)).alias("hrefs")) for e in REFERENCES))
+    x = files.select(*keys, F.explode(found).alias("f")).select(*keys, "f.element", F.explode("f.hrefs").alias("href"))
+    kept = [(F.col("element") == e) & F.col("href").rlike(ending) for e, ending in REFERENCES.items()]
+    return x.where(kept[0] | kept[1])
+
+
+def _with_targets(xml: Column, element: str, targets: Column) -> Column:
+    """The markup with the href of each element of one name replaced by its target, where ``targets`` has one."""
+    parts = F.split(xml, rf"<{element}\b", -1)
+
+    def mend(part: Column, i: Column) -> Column:
+        tag = F.substring_index(part, ">", 1)
+        href = F.regexp_extract(tag, r'\bhref="([^"]+)"', 1)
+        new = F.try_element_at(targets, F.concat(F.lit(f"{element} "), href))
+        swapped = F.replace(tag, F.concat(F.lit('href="'), href, F.lit('"')), F.concat(F.lit('href="'), new, F.lit('"')))
+        return F.when((i == 0) | new.isNull(), part).otherwise(F.concat(swapped, F.substring(part, F.length(tag) + 1, F.length(part))))
+
+    return F.array_join(F.transform(parts, mend), f"<{element}")
+
+
+def write_references(files: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """Topic files (doc_id, topic_ix, filename, xml, ...) with the links and image references in ``xml`` led to files that exist.
+
+    Links go by ``resolve_links`` to the files of their document, images by ``resolve_images`` to the ``stored`` ones (doc_id, filename).
+    Only targets are joined; markup moves only for files of which a reference changes.
+    """
+    keys = ["doc_id", "topic_ix"]
+    refs = references(files.select(*keys, "xml"), keys).distinct()
+    links = resolve_links(refs.where("element = 'xref'").select("doc_id", "href").distinct(), files.select("doc_id", "filename").distinct()).withColumn("element", F.lit("xref"))
+    if stored is not None:
+        images = resolve_images(refs.where("element = 'image'").select("doc_id", "href").distinct(), stored)
+        links = links.unionByName(images.withColumn("element", F.lit("image")))
+    changed = refs.join(links.where("target <> href"), ["doc_id", "element", "href"])
+    targets = changed.groupBy(*keys).agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws(" ", "element", "href"), "target"))).alias("_targets"))  # the references of one topic
+    x = files.join(targets, keys, "left")
+    mended = _with_targets(_with_targets(F.col("xml"), "xref", F.col("_targets")), "image", F.col("_targets"))
+    return x.select(*(F.when(F.col("_targets").isNull(), F.col("xml")).otherwise(mended).alias("xml") if c == "xml" else c for c in files.columns))
+
+
 def child_order(tags: Column, order: tuple[str, ...], last: bool = False) -> Column:
     """Child elements (array of structs with ``tag`` and ``ix``) in a stable order by tag.
 

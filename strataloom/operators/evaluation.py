@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataloom.functions.text import f1, markup_text, strip_doctype, word_set
+from strataloom.operators.xmltree import well_formed
 
 DOMAINS = ("ui-d", "pr-d", "hi-d", "sw-d")
 SEMANTIC = ("ui-d:uicontrol", "ui-d:menucascade", "ui-d:wintitle", "pr-d:codeblock", "pr-d:option")
@@ -70,6 +71,59 @@ def map_score(refs_equal: Column, keys_equal: Column, has_title: Column) -> Colu
     return (refs_equal.cast("int") + keys_equal.cast("int") + has_title.cast("int")) / F.lit(3.0)
 
 
+def map_metrics(expected: DataFrame, actual: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, refs_equal, keys_equal, has_title, score) of pairs of maps: as many references, the same set of keys, a title in the actual one."""
+
+    def read(df: DataFrame, side: str) -> DataFrame:
+        names = F.array_sort(F.array_distinct(F.regexp_extract_all("xml", F.lit(r'<keydef\b[^>]*?\bkeys="([^"]*)"'), 1)))
+        return df.select(*keys, F.regexp_count("xml", F.lit(r"<topicref\b")).alias(f"{side}_refs"), names.alias(f"{side}_keys"), F.col("xml").rlike(r"<title\b").alias(f"{side}_title"))
+
+    j = read(expected, "e").join(read(actual, "a"), keys)
+    j = j.select(*keys, (F.col("e_refs") == F.col("a_refs")).alias("refs_equal"), (F.col("e_keys") == F.col("a_keys")).alias("keys_equal"), F.col("a_title").alias("has_title"))
+    return j.withColumn("score", map_score(F.col("refs_equal"), F.col("keys_equal"), F.col("has_title")))
+
+
+#: The metrics of an evaluation, in the order of the report.
+METRICS = ("well-formedness", "class coverage", "topic type", "structure", "semantic elements", "words", "map")
+
+
+def evaluate(pairs: DataFrame, maps: DataFrame, keys: list[str]) -> DataFrame:
+    """(metric, score): all METRICS of pairs of files (keys, expected, actual), and of ``maps``, the rows of ``map_metrics``.
+
+    Scores of files and maps are averaged; class coverage and semantic elements are counted over all files. A metric without anything
+    to be measured is 0. Broken markup counts by its tags.
+    """
+    e, a = (element_rows(pairs, keys, side) for side in ("expected", "actual"))
+    root = {side: F.regexp_extract(F.regexp_replace(strip_doctype(F.col(side)), r"(?s)<\?.*?\?>|<!--.*?-->", ""), r"<([A-Za-z_][\w.:-]*)", 1) for side in ("expected", "actual")}
+    per_file = pairs.agg(
+        F.avg(well_formed(strip_doctype(F.regexp_replace("actual", r"^\s*<\?xml[^>]*\?>", ""))).cast("int")).alias("well-formedness"), F.avg((root["expected"] == root["actual"]).cast("int")).alias("topic type"),
+        F.avg(word_f1(F.col("expected"), F.col("actual"))["f1"]).alias("words"),
+    )
+    parts = [
+        per_file, a.where(~F.col("closes")).agg((F.count("class") / F.count("*")).alias("class coverage")), structural_f1(e, a, keys).agg(F.avg("f1").alias("structure")),
+        semantic_coverage(element_counts(e, keys), element_counts(a, keys)).select(F.col("score").alias("semantic elements")), maps.agg(F.avg("score").alias("map")),
+    ]
+    rows = [p.select(F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.coalesce(F.col(c), F.lit(0.0)).cast("double").alias("score")) for c in p.columns))).alias("m")).select("m.*") for p in parts]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionAll(r)
+    return out
+
+
+def report(metrics: DataFrame) -> DataFrame:
+    """(place, line): the report of an evaluation, metrics in their order and the overall score last."""
+    order = F.array_position(F.array(*map(F.lit, METRICS)), F.col("metric")).cast("int")
+    overall = metrics.agg(F.avg("score").alias("score")).select(F.lit(len(METRICS) + 1).alias("place"), report_line(F.lit("overall"), F.col("score")).alias("line"))
+    return metrics.select(order.alias("place"), report_line(F.col("metric"), F.col("score")).alias("line")).unionAll(overall)
+
+
+def evaluation_json(metrics: DataFrame) -> DataFrame:
+    """(json): overall score and all metrics, which are a handful of rows."""
+    row = F.struct("metric", F.round("score", 4).alias("score"))
+    g = metrics.agg(F.round(F.avg("score"), 4).alias("overall"), F.sort_array(F.collect_list(row)).alias("metrics"))
+    return g.select(F.to_json(F.struct("overall", "metrics")).alias("json"))
+
+
 def report_line(metric: Column, score: Column) -> Column:
     """One line of a report: mark, name, a bar of 20 cells, per cent."""
     pct = score * 100

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataloom.functions.text import SPACE, product_name, strip
@@ -27,10 +27,9 @@ def clean_blocks(block: DataFrame) -> DataFrame:
     An anti join on the hash of (document, text); null texts stay.
     """
     norm = F.lower(strip(F.col("text")))
-    heads = block.where("type = 'heading' and text is not null").select(F.col("doc_id").alias("_d"), norm.alias("_h")).where(F.length("_h") < ECHO_CHARS).distinct()
-    paras = block.where("type = 'paragraph'").withColumn("_n", norm)
-    paras = paras.where(F.col("_n").isNull() | ~F.col("_n").rlike(f"^(page[{SPACE}]+[0-9]+|sample file:)"))
-    paras = paras.join(heads, (F.col("doc_id") == F.col("_d")) & (F.col("_n") == F.col("_h")), "left_anti").drop("_n")
+    heads = block.where("type = 'heading' and text is not null").where(F.length(norm) < ECHO_CHARS).select(F.xxhash64("doc_id", norm).alias("_h")).distinct()
+    paras = block.where("type = 'paragraph'").where(norm.isNull() | ~norm.rlike(f"^(page[{SPACE}]+[0-9]+|sample file:)"))
+    paras = paras.withColumn("_n", F.when(F.length(norm) < ECHO_CHARS, F.xxhash64("doc_id", norm))).join(heads, F.col("_n") == F.col("_h"), "left_anti").drop("_n")
     return block.where("type <> 'paragraph' or type is null").unionByName(paras)
 
 
@@ -150,16 +149,39 @@ def previews(placed: DataFrame, blocks: int = 3, chars: int = 100, total: int =
     return g.select("doc_id", "section_ix", F.substring(F.array_join(F.transform("p", lambda x: x["t"]), " "), 1, total).alias("preview"))
 
 
-# How a block of each type is announced to an annotator.
+# How a block of each type is announced to an annotator, and a heading inside a topic.
 TAGS = {"table": "[TABLE]\n", "code": "[CODE]\n", "image": "[IMAGE] filename: ", "list_item": "[LIST_ITEM] ", "note": "[NOTE] "}
+HEADING_TAG = ("[SUBSECTION_TITLE level=", "] ")
 
 
-def prompts(topic_rows: DataFrame) -> DataFrame:
-    """(doc_id, topic_ix, prompt): the blocks of a topic as the tagged lines an annotator reads."""
-    head = F.concat(F.lit("[SUBSECTION_TITLE level="), F.col("level").cast("string"), F.lit("] "))
+def prompts(topic_rows: DataFrame, heads: DataFrame | None = None) -> DataFrame:
+    """(doc_id, topic_ix, prompt): the blocks of a topic as the tagged lines an annotator reads.
+
+    With ``heads`` (doc_id, topic_ix, document, title, product, filename; the product may be null) the prompt begins with the titles of
+    document and topic, the product, and the titles and files of the document's other topics. A document has few topics.
+    """
+    head = F.concat(F.lit(HEADING_TAG[0]), F.col("level").cast("string"), F.lit(HEADING_TAG[1]))
     tag = F.when(F.col("type") == "heading", head)
     for kind, text in TAGS.items():
         tag = tag.when(F.col("type") == kind, text)
     line = F.concat(tag.otherwise("[PARAGRAPH] "), F.coalesce("text", F.lit("")), F.lit("\n"))
     g = topic_rows.groupBy("doc_id", "topic_ix").agg(F.sort_array(F.collect_list(F.struct("pos", line.alias("l")))).alias("p"))
-    return g.select("doc_id", "topic_ix", F.array_join(F.transform("p", lambda x: x["l"]), "").alias("prompt"))
+    blocks = g.select("doc_id", "topic_ix", F.array_join(F.transform("p", lambda x: x["l"]), "").alias("prompt"))
+    return blocks if heads is None else blocks.join(prompt_heads(heads), ["doc_id", "topic_ix"]).select("doc_id", "topic_ix", F.concat("head", "prompt").alias("prompt"))
+
+
+def prompt_heads(heads: DataFrame) -> DataFrame:
+    """(doc_id, topic_ix, head): what an annotator is told of a topic before its blocks."""
+    every = heads.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("topic_ix", "title", "filename"))).alias("every"))
+    x = heads.join(every, "doc_id")
+    others = F.filter("every", lambda o: o["title"] != F.col("title"))
+
+    def line(name: str, value: Column) -> Column:
+        return F.when(F.coalesce(value, F.lit("")) != "", F.concat(F.lit(f"{name}: "), value, F.lit("\n"))).otherwise("")
+
+    files = F.array_join(F.transform(F.filter(others, lambda o: o["filename"] != ""), lambda o: F.concat(F.lit("  "), o["title"], F.lit(" = "), o["filename"], F.lit("\n"))), "")
+    head = F.concat(
+        line("Document", F.col("document")), line("Topic", F.col("title")), line("Product", F.col("product")), line("Other topics", F.array_join(F.transform(others, lambda o: o["title"]), ", ")),
+        F.when(files != "", F.concat(F.lit("Files of other topics:\n"), files)).otherwise(""), F.lit("\nBlocks:\n"),
+    )
+    return x.select("doc_id", "topic_ix", head.alias("head"))

@@ -9,7 +9,7 @@ from strataloom.functions import text as T
 from strataloom.operators import evaluation as V
 from strataloom.operators import xmltree as X
 from strataloom.plans.tables import table
-from strataloom.queries.registry import WD, query, strip_sql
+from strataloom.queries.registry import WD, esc_sql, query, strip_sql
 from strataloom.queries.topics import _FILES, _MAPS, b2_maps, files
 
 KEYS = ["doc_id", "topic_ix"]
@@ -83,14 +83,26 @@ def g12_structural_f1(spark, sf):
     return g.select(*KEYS, *(F.col(c).cast("bigint").alias(c) for c in ("common", "expected", "actual")), F.round("f1", 9).alias("f1"))
 
 
+#: Elements that the bodies have none of, put behind them by the last digit of topic_ix: the first two in topics of both kinds, the others in one only.
+_PLANTS = {
+    "0": '<menucascade class="+ topic/ph ui-d/menucascade "/>', "1": '<menucascade class="+ topic/ph ui-d/menucascade "/><codeblock class="+ topic/pre pr-d/codeblock "/>',
+    "2": '<wintitle class="+ topic/keyword ui-d/wintitle "/><codeblock class="+ topic/pre pr-d/codeblock "/>', "3": '<option class="+ topic/keyword pr-d/option "/>',
+}
+_PLANTED = "ft as (select doc_id, topic_ix, min(body_xml) || (case topic_ix % 4 " + " ".join(f"when {k} then '{v}'" for k, v in _PLANTS.items()) + " end) as xml from topic where body_xml is not null group by doc_id, topic_ix)"
+
+
 @query(
     "g13_semantic_coverage",
-    f"with {_TOPICS}, {_NODES}, {_COUNTS}, e as (select tag, sum(n) as n from ec where topic_ix % 2 = 0 group by tag), a as (select tag, sum(n) as n from ec where topic_ix % 2 = 1 group by tag), x as (select e.tag, a.n is not null as hit from e left join a using (tag) where e.tag in ('"
+    f"""with {_PLANTED}, {_NODES}, {_COUNTS}, e as (select tag, sum(n) as n from ec where topic_ix % 2 = 0 group by tag), a as (select tag, sum(n) as n from ec where topic_ix % 2 = 1 group by tag),
+x as (select e.tag, a.n is not null as hit from e left join a using (tag) where e.tag in ('"""
     + "', '".join(V.SEMANTIC) + "')) select count(*) filter (hit) as matched, count(*) as total, round(count(*) filter (hit) / greatest(count(*), 1), 9) as score from x",
 )
 def g13_semantic_coverage(spark, sf):
-    """Elements of even topics taken as expected, of odd ones as actual."""
-    c = V.element_counts(nodes(spark, sf), KEYS)
+    """Elements of even topics taken as expected, of odd ones as actual; elements of all kinds are put into the bodies."""
+    plant = F.lit("")
+    for k, v in _PLANTS.items():
+        plant = F.when(F.col("topic_ix") % 4 == int(k), v).otherwise(plant)
+    c = V.element_counts(V.element_rows(topic_markup(spark, sf).withColumn("xml", F.concat("xml", plant)), KEYS, "xml"), KEYS)
     return V.semantic_coverage(c.where("topic_ix % 2 = 0"), c.where("topic_ix % 2 = 1")).withColumn("score", F.round("score", 9))
 
 
@@ -110,17 +122,63 @@ def g14_word_f1(spark, sf):
     return j.select(*KEYS, *(F.round(c, 9).alias(n) for n, c in V.word_f1(F.col("xml"), F.col("other")).items()))
 
 
-@query("g15_map_score", f"with {_MAPS}, n as (select doc_id, len(regexp_extract_all(xml, '<topicref ')) as refs, contains(xml, '<title') as titled from maps), p as (select doc_id, count(distinct topic_ix) as planned from topic_plan group by doc_id) select doc_id, refs, planned, round(((refs = planned)::int + 1 + titled::int) / 3.0, 9) as score from n join p using (doc_id)")
+#: What is expected of the maps: a reference per planned topic, in every seventh document one more; keys where doc_id is a multiple of 3 or of 4.
+_EXPECTED_MAPS = """em as (select doc_id, case when doc_id % 3 = 0 or doc_id % 4 = 0 then ['product-name'] else []::varchar[] end as keys, count(distinct topic_ix) + (doc_id % 7 = 0)::int as refs from topic_plan group by doc_id),
+am as (select doc_id, len(regexp_extract_all(xml, '<topicref\\b')) as refs, list_sort(list_distinct(regexp_extract_all(xml, '<keydef\\b[^>]*?\\bkeys="([^"]*)"', 1))) as keys, contains(xml, '<title') as titled from maps),
+mm as (select doc_id, em.refs = am.refs as refs_equal, em.keys = am.keys as keys_equal, titled as has_title, ((em.refs = am.refs)::int + (em.keys = am.keys)::int + titled::int) / 3.0 as score from em join am using (doc_id))"""
+
+
+def expected_maps(spark: SparkSession, sf: str) -> DataFrame:
+    p = table(spark, sf, "topic_plan").groupBy("doc_id").agg(F.countDistinct("topic_ix").alias("n"))
+    n = (F.col("n") + (F.col("doc_id") % 7 == 0).cast("int")).cast("int")
+    keys = F.when((F.col("doc_id") % 3 == 0) | (F.col("doc_id") % 4 == 0), '<keydef class="x" keys="product-name"/>').otherwise("")
+    return p.select("doc_id", F.concat(F.lit("<map><title/>"), F.repeat(F.lit('<topicref href="x"/>'), n), keys, F.lit("</map>")).alias("xml"))
+
+
+@query("g15_map_score", f"with {_MAPS}, {_EXPECTED_MAPS} select doc_id, refs_equal, keys_equal, has_title, round(score, 9) as score from mm")
 def g15_map_score(spark, sf):
-    """Emitted maps against the planned topics; neither side has keys."""
-    n = b2_maps(spark, sf).select("doc_id", F.regexp_count("xml", F.lit("<topicref ")).cast("bigint").alias("refs"), F.contains("xml", F.lit("<title")).alias("titled"))
-    p = table(spark, sf, "topic_plan").groupBy("doc_id").agg(F.countDistinct("topic_ix").alias("planned"))
-    return n.join(p, "doc_id").select("doc_id", "refs", "planned", F.round(V.map_score(F.col("refs") == F.col("planned"), F.lit(True), F.col("titled")), 9).alias("score"))
+    """Emitted maps against the plans, by number of references, set of keys and title."""
+    return V.map_metrics(expected_maps(spark, sf), b2_maps(spark, sf), ["doc_id"]).withColumn("score", F.round("score", 9))
+
+
+# Pairs of files made so that SQL knows which of them are well-formed: every seventh lacks the end tag of its root.
+_T, _S = esc_sql("coalesce(title, '')"), esc_sql("coalesce(shortdesc, '')")
+_PAIRED = f"""fr as (select doc_id, topic_ix, min(coalesce(title, '')) as title, min(coalesce(shortdesc, '')) as shortdesc, min(coalesce(topic_type, 'concept')) as kind from topic group by all),
+ev as (select doc_id, topic_ix, '<' || kind || ' class="r"><title class="- topic/title ">' || {_T} || '</title><shortdesc>' || {_S} || '</shortdesc><uicontrol class="+ topic/ph ui-d/uicontrol ">' || case when topic_ix = 0 then '<option class="+ topic/keyword pr-d/option "/>' else '' end || '</uicontrol></' || kind || '>' as expected,
+ '<' || case when (doc_id + topic_ix) % 5 = 0 then 'concept' else kind end || ' class="r"><title class="- topic/title ">' || {_T} || '</title><p>' || {esc_sql("substring(coalesce(shortdesc, ''), 1, 40)")} || '</p><uicontrol class="+ topic/ph ui-d/uicontrol "/>'
+ || case when (doc_id * 3 + topic_ix) % 7 = 0 then '' else '</' || case when (doc_id + topic_ix) % 5 = 0 then 'concept' else kind end || '>' end as actual, (doc_id * 3 + topic_ix) % 7 <> 0 as valid from fr),
+ft as (select doc_id, topic_ix * 2 as topic_ix, expected as xml from ev union all select doc_id, topic_ix * 2 + 1, actual from ev)"""
+_METRICS = f"""with {_MAPS}, {_EXPECTED_MAPS}, {_PAIRED}, {_NODES}, {_DEPTHS}, {_COUNTS},
+sg as (select doc_id, topic_ix // 2 as k, depth, tag, count(*) filter (topic_ix % 2 = 0) as e, count(*) filter (topic_ix % 2 = 1) as a from dp group by all),
+sf as (select doc_id, k, sum(least(e, a)) as c, sum(e) as e, sum(a) as a from sg group by doc_id, k),
+wd as (select doc_id, topic_ix, {{words}} as w from ft),
+wp as (select e.doc_id, e.topic_ix, len(list_intersect(e.w, a.w)) as c, len(e.w) as e, len(a.w) as a from wd e join wd a on a.doc_id = e.doc_id and a.topic_ix = e.topic_ix + 1 where e.topic_ix % 2 = 0),
+sc as (select tag, sum(n) filter (topic_ix % 2 = 0) as e, sum(n) filter (topic_ix % 2 = 1) as a from ec where tag in ('{"', '".join(V.SEMANTIC)}') group by tag),
+m as (select 'well-formedness' as metric, avg(valid::int) as score from ev
+ union all select 'class coverage', count(class) / count(*) from nd where topic_ix % 2 = 1 and not closes
+ union all select 'topic type', avg((regexp_extract(expected, '<([a-z]+)', 1) = regexp_extract(actual, '<([a-z]+)', 1))::int) from ev
+ union all select 'structure', avg(2 * c / (e + a)) from sf
+ union all select 'semantic elements', count(*) filter (e > 0 and a > 0) / greatest(count(*) filter (e > 0), 1) from sc
+ union all select 'words', avg(case when c = 0 then 0 else 2 * (c / greatest(a, 1)) * (c / greatest(e, 1)) / (c / greatest(a, 1) + c / greatest(e, 1)) end) from wp
+ union all select 'map', avg(score) from mm)""".replace("{words}", _WORDS)
+
+
+def _metrics(spark: SparkSession, sf: str) -> DataFrame:
+    t = table(spark, sf, "topic").groupBy(*KEYS).agg(F.min(F.coalesce("title", F.lit(""))).alias("title"), F.min(F.coalesce("shortdesc", F.lit(""))).alias("shortdesc"), F.min(F.coalesce("topic_type", F.lit("concept"))).alias("kind"))
+    other = F.when((F.col("doc_id") + F.col("topic_ix")) % 5 == 0, "concept").otherwise(F.col("kind"))
+    begin = lambda kind: F.concat(F.lit("<"), kind, F.lit(' class="r"><title class="- topic/title ">'), T.html_escape(F.col("title")), F.lit("</title>"))
+    end = lambda kind: F.concat(F.lit("</"), kind, F.lit(">"))
+    option = F.when(F.col("topic_ix") == 0, '<option class="+ topic/keyword pr-d/option "/>').otherwise("")
+    expected = F.concat(begin(F.col("kind")), F.lit("<shortdesc>"), T.html_escape(F.col("shortdesc")), F.lit('</shortdesc><uicontrol class="+ topic/ph ui-d/uicontrol ">'), option, F.lit("</uicontrol>"), end(F.col("kind")))
+    actual = F.concat(begin(other), F.lit("<p>"), T.html_escape(F.substring("shortdesc", 1, 40)), F.lit('</p><uicontrol class="+ topic/ph ui-d/uicontrol "/>'), F.when((F.col("doc_id") * 3 + F.col("topic_ix")) % 7 == 0, "").otherwise(end(other)))
+    pairs = t.select(*KEYS, expected.alias("expected"), actual.alias("actual"))
+    return V.evaluate(pairs, V.map_metrics(expected_maps(spark, sf), b2_maps(spark, sf), ["doc_id"]), KEYS)
 
 
-_METRICS = f"""with {_TOPICS}, {_NODES}, o as (select distinct doc_id, topic_ix, filename from out_file),
-m as (select 'class coverage' as metric, count(class) / count(*) as score from nd where not closes
- union all select 'topic accuracy', count(*) filter (case when filename like 't\\_%' escape '\\' then 'task' when filename like 'r\\_%' escape '\\' then 'ref' else 'con' end = regexp_extract(xml, '^\\s*<([a-z]+)body', 1)) / count(*) from o join ft using (doc_id, topic_ix))"""
+@query("g16_metrics", _METRICS + " select metric, round(score, 9) as score from m")
+def g16_metrics(spark, sf):
+    """G10 to G16 together: all metrics of pairs of files with mixed faults, and of the maps."""
+    return _metrics(spark, sf).withColumn("score", F.round("score", 9))
 
 
 @query("g16_overall", _METRICS + " select count(*) as metrics, round(avg(score), 9) as overall from m")
@@ -128,25 +186,23 @@ def g16_overall(spark, sf):
     return _metrics(spark, sf).agg(F.count("*").alias("metrics"), F.round(F.avg("score"), 9).alias("overall"))
 
 
-def _metrics(spark: SparkSession, sf: str) -> DataFrame:
-    cover = nodes(spark, sf).where(~F.col("closes")).agg((F.count("class") / F.count("*")).alias("score")).select(F.lit("class coverage").alias("metric"), "score")
-    t = topic_markup(spark, sf).select(*KEYS, F.regexp_extract("xml", r"^\s*<([a-z]+)body", 1).alias("tag"))
-    kind = F.when(F.startswith("filename", F.lit("t_")), "task").when(F.startswith("filename", F.lit("r_")), "ref").otherwise("con")
-    acc = table(spark, sf, "out_file").select(*KEYS, "filename").distinct().join(t, KEYS).agg(F.avg((kind == F.col("tag")).cast("int")).alias("score")).select(F.lit("topic accuracy").alias("metric"), "score")
-    return cover.unionAll(acc)
+_LINE = "case when score * 100 >= 90 then '✓' when score * 100 >= 70 then '~' else '✗' end || ' ' || metric || ' ' || repeat('#', floor(score * 100 / 5)::int) || repeat('.', 20 - floor(score * 100 / 5)::int) || ' ' || printf('%.1f', score * 100) || '%'"
 
 
-@query("b11_report", _METRICS + " select metric, case when score * 100 >= 90 then '✓' when score * 100 >= 70 then '~' else '✗' end || ' ' || metric || ' ' || repeat('#', floor(score * 100 / 5)::int) || repeat('.', 20 - floor(score * 100 / 5)::int) || ' ' || printf('%.1f', score * 100) || '%' as line from m")
+@query(
+    "b11_report",
+    _METRICS + f", r as (select list_position([{', '.join(repr(m) for m in V.METRICS)}], metric) as place, metric, score from m union all select {len(V.METRICS) + 1}, 'overall', avg(score) from m) select place, {_LINE} as line from r",
+)
 def b11_report(spark, sf):
-    return _metrics(spark, sf).select("metric", V.report_line(F.col("metric"), F.col("score")).alias("line"))
+    return V.report(_metrics(spark, sf))
 
 
-@query("b4_evaluation_json", _METRICS + " select '{\"overall\":' || printf('%.4f', (select avg(score) from m)) || ',\"metrics\":[' || string_agg('{\"metric\":\"' || metric || '\",\"score\":' || printf('%.4f', score) || '}', ',' order by metric) || ']}' as json from m")
+@query(
+    "b4_evaluation_json",
+    _METRICS + """ select '{"overall":' || round((select avg(score) from m), 4) || ',"metrics":[' || string_agg('{"metric":"' || metric || '","score":' || round(score, 4) || '}', ',' order by metric) || ']}' as json from m""",
+)
 def b4_evaluation_json(spark, sf):
-    m = _metrics(spark, sf)
-    row = F.concat(F.lit('{"metric":"'), "metric", F.lit('","score":'), F.format_string("%.4f", "score"), F.lit("}"))
-    g = m.agg(F.avg("score").alias("a"), F.sort_array(F.collect_list(F.struct("metric", row.alias("r")))).alias("l"))
-    return g.select(F.concat(F.lit('{"overall":'), F.format_string("%.4f", "a"), F.lit(',"metrics":['), F.array_join(F.transform("l", lambda x: x["r"]), ","), F.lit("]}")).alias("json"))
+    return V.evaluation_json(_metrics(spark, sf))
 
 
 @query("a9_topic_roots", f"with {_FILES} select distinct doc_id, topic_ix, filename, regexp_extract(regexp_replace(regexp_replace(xml, '<!DOCTYPE[^>]+>', '', 'g'), '<\\?.*?\\?>', '', 'g'), '<([A-Za-z]+)', 1) as root from files")

@@ -11,18 +11,21 @@ from strataloom.plans.tables import table
 from strataloom.queries.registry import SP, WD, query, strip_sql
 
 LINES_A_PAGE = 40
+#: Every so many lines, one is a note; of ten documents, one has a cover and one a page of contents.
+NOTE_EVERY, COVER, CONTENTS = 29, 4, 3
 
 _MONO = "|".join(MONO_MARKS)
 
 #: The same layout in SQL: every line of a text is a line of words, 40 lines a page; the fonts reach every rule.
 WORDS = f"""
-d as (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10)))))::int as line_no from documents where text is not null),
+d0 as (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10)))))::int as line_no from documents where text is not null),
+d as (select doc_id, line_no, case when line_no % {NOTE_EVERY} = 7 then 'Note: ' || line else line end as line from d0),
 w0 as (select doc_id, line_no, unnest(string_split(line, ' ')) as text, unnest(range(len(string_split(line, ' ')))) as k,
        unnest(list_prepend(0, list_transform(range(1, len(string_split(line, ' '))), lambda i: (len(array_to_string(list_slice(string_split(line, ' '), 1, i), ' ')) + 1)))) as x,
        starts_with(line, 'Note:') as noted from d),
 words as (select doc_id, (line_no // {LINES_A_PAGE} + 1)::int as page, ((line_no % {LINES_A_PAGE}) * 10000 + k)::int as word_ix, text, (7 * x)::double as x0, (7 * (x + len(text)))::double as x1,
        (case when line_no % {LINES_A_PAGE} = 0 then 40 else 60 end + 14 * (line_no % {LINES_A_PAGE}) + case when line_no % 5 = 0 then 10 else 0 end)::double as top,
-       (case when line_no = 0 then 18 when noted then 10 when line_no % 12 = 0 then 14 when line_no % 17 = 0 then 9 when line_no % 23 = 0 then 8 else 10 end)::double as size,
+       (case when line_no = 0 then case doc_id % 10 when {COVER} then 36 else 18 end when noted then 10 when line_no % 12 = 0 then 14 when line_no % 17 = 0 then 9 when line_no % 23 = 0 then 8 else 10 end)::double as size,
        case when line_no = 0 or noted or line_no % 12 = 0 then 'Garamond-Bold' when line_no % 17 = 0 then 'CourierNew' else 'Garamond' end as fontname from w0 where text <> ''),
 wb as (select *, top + size as bottom from words)
 """
@@ -33,13 +36,17 @@ def _texts(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").where("text is not null").select("doc_id", "text").repartition("doc_id")
 
 
+def _lines(spark: SparkSession, sf: str) -> DataFrame:
+    lines = _texts(spark, sf).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    return lines.withColumn("line", F.when(F.col("line_no") % NOTE_EVERY == 7, F.concat(F.lit("Note: "), "line")).otherwise(F.col("line")))
+
+
 def words(spark: SparkSession, sf: str) -> DataFrame:
-    docs = _texts(spark, sf)
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    lines = _lines(spark, sf)
     starts = F.expr("transform(split(line, ' ', -1), (p, i) -> named_struct('t', p, 'x', if(i = 0, 0, length(substring_index(line, ' ', i)) + 1)))")
     ws = lines.select("doc_id", "line_no", F.startswith("line", F.lit("Note:")).alias("noted"), F.posexplode(starts).alias("k", "z")).select("doc_id", "line_no", "noted", "k", F.col("z.t").alias("text"), F.col("z.x").alias("x")).where("text <> ''")
     row = F.col("line_no") % LINES_A_PAGE
-    size = F.when(F.col("line_no") == 0, 18).when(F.col("noted"), 10).when(F.col("line_no") % 12 == 0, 14).when(F.col("line_no") % 17 == 0, 9).when(F.col("line_no") % 23 == 0, 8).otherwise(10).cast("double")
+    size = F.when((F.col("line_no") == 0) & (F.col("doc_id") % 10 == COVER), 36).when(F.col("line_no") == 0, 18).when(F.col("noted"), 10).when(F.col("line_no") % 12 == 0, 14).when(F.col("line_no") % 17 == 0, 9).when(F.col("line_no") % 23 == 0, 8).otherwise(10).cast("double")
     top = (F.when(row == 0, 40).otherwise(60) + 14 * row + F.when(F.col("line_no") % 5 == 0, 10).otherwise(0)).cast("double")
     font = F.when((F.col("line_no") == 0) | F.col("noted") | (F.col("line_no") % 12 == 0), "Garamond-Bold").when(F.col("line_no") % 17 == 0, "CourierNew").otherwise("Garamond")
     return ws.select("doc_id", (F.floor(F.col("line_no") / LINES_A_PAGE) + 1).cast("int").alias("page"), (row * 10000 + F.col("k")).cast("int").alias("word_ix"), "text", (7.0 * F.col("x")).alias("x0"), (7.0 * (F.col("x") + F.length("text"))).alias("x1"), top.alias("top"), (top + size).alias("bottom"), font.alias("fontname"), size.alias("size"))
@@ -53,14 +60,14 @@ def boxes(w: DataFrame) -> DataFrame:
     return w.where("page % 3 = 0").select("doc_id", "page", F.lit(0.0).alias("x0"), F.lit(60.0 + 14 * 10).alias("top"), F.lit(5000.0).alias("x1"), F.lit(60.0 + 14 * 12 + 30).alias("bottom")).distinct()
 
 
-PAGES = f"pages as (select doc_id, (line_no // {LINES_A_PAGE} + 1)::int as page, string_agg(line, chr(10) order by line_no) as text from d group by all)"
+PAGES = f"pages as (select doc_id, (line_no // {LINES_A_PAGE} + 1)::int as page, case when doc_id % 10 = {CONTENTS} and line_no // {LINES_A_PAGE} = 1 then 'TABLE of Contents' || chr(10) else '' end || string_agg(line, chr(10) order by line_no) as text from d group by doc_id, line_no // {LINES_A_PAGE})"
 
 
 def pages(spark: SparkSession, sf: str) -> DataFrame:
-    docs = _texts(spark, sf)
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    lines = _lines(spark, sf)
     g = lines.groupBy("doc_id", (F.floor(F.col("line_no") / LINES_A_PAGE) + 1).cast("int").alias("page")).agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("p"))
-    return g.select("doc_id", "page", F.array_join(F.transform("p", lambda x: x["line"]), "\n").alias("text"))
+    head = F.when((F.col("doc_id") % 10 == CONTENTS) & (F.col("page") == 2), "TABLE of Contents\n").otherwise("")
+    return g.select("doc_id", "page", F.concat(head, F.array_join(F.transform("p", lambda x: x["line"]), "\n")).alias("text"))
 
 
 @query("a3_page_text", f"with {WORDS}, {PAGES} select * from pages")

@@ -170,11 +170,34 @@ def l1_previews(spark, sf):
     return p.select("doc_id", F.col("section_ix").cast("bigint").alias("section_ix"), "preview")
 
 
-@query("c14_prompts", f"with {BLOCKS}, {_TOPIC_BLOCKS} select doc_id, topic_ix, string_agg(case when type = 'heading' then '[SUBSECTION_TITLE level=' || level || '] ' when type = 'table' then '[TABLE]' || chr(10) when type = 'code' then '[CODE]' || chr(10) when type = 'image' then '[IMAGE] filename: ' when type = 'list_item' then '[LIST_ITEM] ' when type = 'note' then '[NOTE] ' else '[PARAGRAPH] ' end || coalesce(text, '') || chr(10), '' order by pos) as prompt from tb group by doc_id, topic_ix")
-def c14_prompts(spark, sf):
+@query("c14_block_prompts", f"with {BLOCKS}, {_TOPIC_BLOCKS} select doc_id, topic_ix, string_agg(case when type = 'heading' then '[SUBSECTION_TITLE level=' || level || '] ' when type = 'table' then '[TABLE]' || chr(10) when type = 'code' then '[CODE]' || chr(10) when type = 'image' then '[IMAGE] filename: ' when type = 'list_item' then '[LIST_ITEM] ' when type = 'note' then '[NOTE] ' else '[PARAGRAPH] ' end || coalesce(text, '') || chr(10), '' order by pos) as prompt from tb group by doc_id, topic_ix")
+def c14_block_prompts(spark, sf):
+    """C14: the blocks of each topic as tagged lines."""
     return S.prompts(topic_rows(spark, sf)).select("doc_id", F.col("topic_ix").cast("bigint").alias("topic_ix"), "prompt")
 
 
+_OTHERS = "list_filter(l, lambda o: o.title <> ph.title)"
+_HEADS = f"""ph0 as (select doc_id, topic_ix, max(title) filter (head) as title, max(topic_type) filter (head) as topic_type from pl group by doc_id, topic_ix),
+pt as (select doc_id, max(title) as document, max(case when doc_id % 3 = 0 then upper(source) end) as product from documents group by doc_id),
+ph as (select ph0.*, document, product, {name_sql("title", "topic_type")} as filename from ph0 left join pt using (doc_id)),
+pg as (select doc_id, list({{'topic_ix': topic_ix, 'title': title, 'filename': filename}} order by topic_ix) as l from ph group by doc_id),
+hd2 as (select ph.doc_id, topic_ix, case when coalesce(document, '') <> '' then 'Document: ' || document || chr(10) else '' end || case when coalesce(title, '') <> '' then 'Topic: ' || title || chr(10) else '' end
+ || case when coalesce(product, '') <> '' then 'Product: ' || product || chr(10) else '' end
+ || case when len({_OTHERS}) > 0 then 'Other topics: ' || array_to_string(list_transform({_OTHERS}, lambda o: o.title), ', ') || chr(10)
+ || 'Files of other topics:' || chr(10) || array_to_string(list_transform({_OTHERS}, lambda o: '  ' || o.title || ' = ' || o.filename || chr(10)), '') else '' end || chr(10) || 'Blocks:' || chr(10) as head from ph join pg using (doc_id)),
+pb as (select doc_id, topic_ix, string_agg(case when type = 'heading' then '[SUBSECTION_TITLE level=' || level || '] ' when type = 'table' then '[TABLE]' || chr(10) when type = 'code' then '[CODE]' || chr(10)
+ when type = 'image' then '[IMAGE] filename: ' when type = 'list_item' then '[LIST_ITEM] ' when type = 'note' then '[NOTE] ' else '[PARAGRAPH] ' end || coalesce(text, '') || chr(10), '' order by pos) as prompt from tb group by doc_id, topic_ix)"""
+
+
+@query("c14_prompts", f"with {BLOCKS}, {_TOPIC_BLOCKS}, {_HEADS} select doc_id, topic_ix, head || prompt as prompt from pb join hd2 using (doc_id, topic_ix)")
+def c14_prompts(spark, sf):
+    """C14: whole prompts, with titles, products (of every third document, named by its source) and the files of other topics."""
+    titles = S.topics(_planned(spark, sf)).select("doc_id", "topic_ix", F.col("topic_title").alias("title"), "topic_type")
+    docs = table(spark, sf, "documents").groupBy("doc_id").agg(F.max("title").alias("document"), F.max(F.when(F.col("doc_id") % 3 == 0, F.upper("source"))).alias("product"))
+    heads = titles.join(docs, "doc_id", "left").withColumn("filename", T.topic_filename(F.col("title"), F.col("topic_type")))
+    return S.prompts(topic_rows(spark, sf), heads).select("doc_id", F.col("topic_ix").cast("bigint").alias("topic_ix"), "prompt")
+
+
 @query("j10_other_titles", "with t as (select distinct doc_id, topic_ix, topic_title from topic_plan), g as (select doc_id, list(topic_title order by topic_ix) as l from t group by doc_id) select doc_id, topic_ix, array_to_string(list_filter(l, lambda x: x <> topic_title), ', ') as others from t join g using (doc_id)")
 def j10_other_titles(spark, sf):
     """The other titles of the same document; a document has few topics."""
@@ -263,8 +286,12 @@ files as (select doc_id, topic_ix, {name_sql("coalesce(title, '')", 'topic_type'
  coalesce(body_xml, ''), '</' || tt || '>') as xml from f0)"""
 
 
+def _topic_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "topic").select("doc_id", "topic_ix", "title", "topic_type", "body_xml", "shortdesc", "keywords").distinct()
+
+
 def files(spark: SparkSession, sf: str) -> DataFrame:
-    return E.topic_files(table(spark, sf, "topic").select("doc_id", "topic_ix", "title", "topic_type", "body_xml", "shortdesc", "keywords").distinct())
+    return E.topic_files(_topic_rows(spark, sf))
 
 
 @query("c18_topic_files", f"with {_FILES} select *, count(*) over (partition by doc_id, filename) > 1 as clash from files")
@@ -273,34 +300,71 @@ def c18_topic_files(spark, sf):
     return files(spark, sf)
 
 
-@query("b1_file_clashes", f"with {_FILES} select doc_id, filename, count(*) as n, min(topic_ix)::int as first from files group by all having count(*) > 1")
+_FIRST_WORD = _FILES.replace("ft as (select distinct doc_id, topic_ix, title, topic_type,", "ft as (select distinct doc_id, topic_ix, string_split(title, ' ')[1] as title, 'task' as topic_type,")
+
+
+@query("b1_file_clashes", f"with {_FIRST_WORD} select doc_id, filename, count(*) as n, min(topic_ix)::int as first from files group by all having count(*) > 1")
 def b1_file_clashes(spark, sf):
-    f = files(spark, sf).where("clash")
+    """B1: topics of a document that would be written under one name; titles are cut to their first word, so that there are some."""
+    t = _topic_rows(spark, sf).select("doc_id", "topic_ix", F.substring_index("title", " ", 1).alias("title"), F.lit("task").alias("topic_type"), "body_xml", "shortdesc", "keywords")
+    f = E.topic_files(t.distinct()).where("clash")
     return f.groupBy("doc_id", "filename").agg(F.count("*").alias("n"), F.min("topic_ix").alias("first"))
 
 
-_MAPS = f"""of as (select distinct doc_id, topic_ix, filename from out_file), refs as (select doc_id, string_agg('<topicref href="' || filename || '" class="- map/topicref "/>', chr(10) order by topic_ix, filename) as refs from of group by doc_id),
-mt as (select doc_id, max(title) as title from documents group by doc_id),
-maps as (select doc_id, 'm_' || {slug_sql("coalesce(title, '')")} || '.ditamap' as filename, concat_ws(chr(10), '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<!DOCTYPE map PUBLIC "-//OASIS//DTD DITA Map//EN" "map.dtd">', '<map id="ditamap-' || substring(sha256(doc_id::varchar), 1, 8) || '" class="- map/map ">', '<title class="- topic/title ">' || {xesc_sql("coalesce(title, '')")} || '</title>', refs, '</map>') as xml from refs left join mt using (doc_id))"""
+_MAPS = f"""of as (select distinct doc_id, topic_ix, filename from out_file),
+refs as (select doc_id, string_agg('<topicref href="' || filename || '" class="- map/topicref "/>', chr(10) order by topic_ix, filename) as refs from of group by doc_id),
+mt as (select doc_id, max(title) as title, max(case when doc_id % 2 = 0 then upper(source) end) as product from documents group by doc_id),
+maps as (select doc_id, 'm_' || {slug_sql("coalesce(title, '')")} || '.ditamap' as filename, concat_ws(chr(10),
+ '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<!DOCTYPE map PUBLIC "-//OASIS//DTD DITA Map//EN" "map.dtd">', '<map id="ditamap-' || substring(sha256(doc_id::varchar), 1, 8) || '" class="- map/map ">',
+ '<title class="- topic/title ">' || {xesc_sql("coalesce(title, '')")} || '</title>', refs,
+ '<keydef keys="product-name" class="+ map/topicref mapgroup-d/keydef ">' || chr(10) || '<topicmeta class="- map/topicmeta ">' || chr(10) || '<keywords class="- topic/keywords ">' || chr(10)
+ || '<keyword class="- topic/keyword ">' || {xesc_sql("product")} || '</keyword>' || chr(10) || '</keywords>' || chr(10) || '</topicmeta>' || chr(10) || '</keydef>', '</map>') as xml from refs left join mt using (doc_id))"""
 
 
 @query("b2_maps", f"with {_MAPS} select * from maps")
 def b2_maps(spark, sf):
+    """B2: maps; the documents with even ids have a product, named by their source."""
     f = table(spark, sf, "out_file").select("doc_id", "topic_ix", "filename").distinct()
-    return E.maps(f, table(spark, sf, "documents").groupBy("doc_id").agg(F.max("title").alias("title")))
+    named = table(spark, sf, "documents").groupBy("doc_id").agg(F.max("title").alias("title"), F.max(F.when(F.col("doc_id") % 2 == 0, F.upper("source"))).alias("product"))
+    return E.maps(f, named.select("doc_id", "title"), named.where("product is not null").select("doc_id", "product"))
+
+
+#: File names under the prefix of another type: c, t and r go round.
+_STALE_SQL = "case substring(filename, 1, 2) when 'c_' then 't_' when 't_' then 'r_' else 'c_' end || substring(filename, 3)"
+
+
+def _stale(name) -> F.Column:
+    return F.concat(F.translate(F.substring(name, 1, 1), "ctr", "trc"), F.expr("substring(filename, 2)"))
 
 
-_HREFS = "hr as (select distinct doc_id, case topic_ix % 4 when 0 then filename when 1 then regexp_replace(filename, '^[ctr]_', 'x_') when 2 then 'http://site/' || filename else regexp_replace(filename, '^[ctr]_', 'c_') end as href from out_file)"
+_HREFS = f"hr as (select distinct doc_id, case topic_ix % 4 when 0 then filename when 1 then {_STALE_SQL} when 2 then 'http://site/' || filename else 'c_nowhere.dita' end as href from out_file)"
 
 
 @query("j8_links", f"with {_HREFS}, fl as (select distinct doc_id, filename from out_file), lo as (select doc_id, regexp_replace(filename, '^[ctr]_', '') as bare, min(filename) as other from fl group by all) select hr.doc_id, href, case when contains(href, '/') or starts_with(href, 'http') or fl.filename is not null or other is null then href else other end as target from hr left join fl on fl.doc_id = hr.doc_id and fl.filename = href left join lo on lo.doc_id = hr.doc_id and lo.bare = regexp_replace(href, '^[ctr]_', '')")
 def j8_links(spark, sf):
     """Links to every file, some with a stale prefix, some outside."""
     of = table(spark, sf, "out_file")
-    href = F.when(F.col("topic_ix") % 4 == 0, F.col("filename")).when(F.col("topic_ix") % 4 == 1, F.regexp_replace("filename", "^[ctr]_", "x_")).when(F.col("topic_ix") % 4 == 2, F.concat(F.lit("http://site/"), "filename")).otherwise(F.regexp_replace("filename", "^[ctr]_", "c_"))
+    href = F.when(F.col("topic_ix") % 4 == 0, F.col("filename")).when(F.col("topic_ix") % 4 == 1, _stale("filename")).when(F.col("topic_ix") % 4 == 2, F.concat(F.lit("http://site/"), "filename")).otherwise("c_nowhere.dita")
     return E.resolve_links(of.select("doc_id", href.alias("href")).distinct(), of.select("doc_id", "filename").distinct())
 
 
+_LINKED = f"""{_FILES.replace("coalesce(body_xml, ''),", "coalesce(body_xml, ''), '#LINKS#',")},
+fn as (select doc_id, topic_ix, filename, title, topic_type, xml, {_STALE_SQL} as stale from files),
+ex as (select distinct doc_id, filename from fn), lo as (select doc_id, regexp_replace(filename, '^[ctr]_', '') as bare, min(filename) as other from ex group by all)
+select fn.doc_id, topic_ix, fn.filename, replace(xml, '#LINKS#', '<p><xref class="a" href="' || case when ex.filename is not null then stale else other end || '">x</xref><xref href="http://site/' || stale || '"/><xref href="c_nowhere.dita"/></p>') as xml
+from fn left join ex on ex.doc_id = fn.doc_id and ex.filename = stale left join lo on lo.doc_id = fn.doc_id and lo.bare = regexp_replace(stale, '^[ctr]_', '')"""
+
+
+@query("j8_written_links", f"with {_LINKED}")
+def j8_written_links(spark, sf):
+    """Emitted files whose links were made for another topic type, led to the files that exist."""
+    name = T.topic_filename(F.coalesce("title", F.lit("")), F.col("topic_type"))
+    links = F.concat(F.lit('\n<p><xref class="a" href="'), "stale", F.lit('">x</xref><xref href="http://site/'), "stale", F.lit('"/><xref href="c_nowhere.dita"/></p>'))
+    t = _topic_rows(spark, sf).withColumn("filename", name).withColumn("stale", _stale("filename"))
+    f = E.topic_files(t.withColumn("body_xml", F.concat(F.coalesce("body_xml", F.lit("")), links)))
+    return E.write_references(f.select("doc_id", "topic_ix", "filename", "xml"))
+
+
 _IMAGES = "im as (select distinct doc_id, meta.filename as filename from block where type = 'image' and meta.filename is not null)"
 
 

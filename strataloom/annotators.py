@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
@@ -10,8 +11,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataloom.functions.text import cache_key, strip_preamble
+from strataloom.functions.text import cache_key, strip_fences, strip_preamble
 from strataloom.operators import emit, sections
+from strataloom.operators.xmltree import fix_content_model, well_formed
+from strataloom.plans.checkpoints import cut
 from strataloom.sources.files import salvage_reply
 
 #: Statuses after which a call is tried again, and how often.
@@ -72,6 +75,53 @@ def annotate(prompts: DataFrame, annotator: Annotator, system: str = "", cache:
     return keyed.join(got, "key")
 
 
+#: Times that a broken body is sent to be repaired.
+REPAIRS = 2
+
+
+def repair(topic: DataFrame, annotator: Annotator, body: str = "body_xml", tries: int = REPAIRS, system: str = "repair") -> DataFrame:
+    """``topic`` with ``body`` repaired, and ``valid``, ``tries`` and ``error`` of each row.
+
+    Bodies that are not well-formed go to the annotator with what is wrong, at most ``tries`` times; each reply loses its fences and is
+    brought to the content model before it is looked at again, and the last one stays. What is broken then keeps an error. Only broken
+    rows are asked for, each distinct body once, and each round is cut, so that no reply is asked for twice. Null bodies are valid.
+    """
+    keys = [c for c in topic.columns if c != body]
+    x = cut(topic.select("*", F.coalesce(well_formed(F.col(body)), F.lit(True)).alias("valid"), F.lit(0).alias("tries")))
+    done = [x.where("valid")]
+    for n in range(1, tries + 1):
+        ask = x.where("not valid").withColumn("prompt", F.concat(F.lit("Error: not well-formed\n\nXML to fix:\n"), body))
+        got = annotate(ask, annotator, system).select(*keys, fix_content_model(strip_fences(F.col("reply"))).alias(body), F.lit(n).alias("tries"))
+        x = cut(got.select(*topic.columns, well_formed(F.col(body)).alias("valid"), "tries"))
+        done.append(x if n == tries else x.where("valid"))
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionAll(part)
+    return out.withColumn("error", F.when(~F.col("valid"), F.concat(F.lit("not well-formed after "), F.col("tries").cast("string"), F.lit(" repairs"))))
+
+
+class PromptCache:
+    """Names of long system prompts that a service keeps, by model and prompt, each until it expires; one per executor process."""
+
+    def __init__(self, make: Callable[[str, str], str | None], seconds: float = 3600.0, margin: float = 60.0, clock: Callable[[], float] = time.monotonic):
+        self.make, self.seconds, self.margin, self.clock = make, seconds, margin, clock
+        self._names: dict[tuple[str, str], tuple[str, float]] = {}
+
+    def name(self, model: str, system: str) -> str | None:
+        """The name to refer to the prompt by; made anew where none is kept or it is about to expire, None where none can be made."""
+        key = (model, hashlib.sha256(system.encode()).hexdigest())
+        now = self.clock()
+        held = self._names.get(key)
+        if held and held[1] - self.margin > now:
+            return held[0]
+        made = self.make(model, system)
+        if made is None:
+            self._names.pop(key, None)
+        else:
+            self._names[key] = (made, now + self.seconds)
+        return made
+
+
 def classify(block: DataFrame, annotator: Annotator | None = None, cache: DataFrame | None = None) -> DataFrame:
     """(doc_id, topic_ix, title, topic_type, body_xml, shortdesc, keywords) of all topics of block rows.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Stages of a run in order, and the step of the progress view that shows each.
@@ -48,8 +48,11 @@ def type_summary(topic_types: DataFrame) -> DataFrame:
     return g.select("doc_id", F.concat_ws(", ", *parts).alias("summary"))
 
 
-def checklist(texts: DataFrame, group: str, xml: str) -> DataFrame:
-    """(group, feature, status): the features a to k of the topics of each group, by counts over their texts."""
+def checklist(texts: DataFrame, maps: DataFrame, images: DataFrame, group: str, xml: str = "xml") -> DataFrame:
+    """(group, place, feature, status): the features a to k of each group with topics, in the order of their letters.
+
+    ``texts`` and ``maps`` are (group, xml), ``images`` the (group, ok, bad) of ``image_cap_audit``. Counts are made per table before they are joined.
+    """
     t = F.coalesce(F.col(xml), F.lit(""))
 
     def count(pattern: str) -> Column:
@@ -58,26 +61,45 @@ def checklist(texts: DataFrame, group: str, xml: str) -> DataFrame:
     g = texts.groupBy(group).agg(
         F.count("*").alias("topics"), F.count_if(t.rlike(r"<(concept|task|reference)\s")).alias("typed"), F.count_if(t.rlike(r"<tgroup\b")).alias("tables"),
         count(r"\b(?:via|i\.e\.|e\.g\.|etc\.)").alias("abbreviations"), count(r"<shortdesc\b").alias("shortdescs"), count(r"<keywords class=").alias("keywords"),
-        count(r"<xref\b").alias("xrefs"), count(r"<image\b").alias("images"), count(r"<alt\b").alias("alts"), count('keys="product-name"').alias("products"),
+        count(r"<xref\b").alias("xrefs"), count(r"<image\b").alias("images"), count(r"<alt\b").alias("alts"),
     )
-    status = {
-        "a": F.when(F.col("typed") > 0, "pass").otherwise("fail"),
-        "b": F.when(F.col("topics") > 0, "pass").otherwise("fail"),
-        "c": F.when(F.col("tables") > 0, "pass").otherwise("warn"),
-        "d": F.when(F.col("abbreviations") == 0, "pass").otherwise("fail"),
-        "e": F.when(F.col("shortdescs") == F.col("topics"), "pass").otherwise("warn"),
-        "f": F.when(F.col("products") > 0, "pass").otherwise("warn"),
-        "g": F.when(F.col("keywords") == F.col("topics"), "pass").otherwise("warn"),
-        "h": F.when(F.col("xrefs") > 0, "pass").otherwise("warn"),
-        "j": F.when(F.col("images") == 0, "warn").when(F.col("alts") == F.col("images"), "pass").otherwise("fail"),
-        "k": F.lit("pass"),
-    }
-    cells = F.array(*(F.struct(F.lit(k).alias("feature"), v.alias("status")) for k, v in status.items()))
+    m = maps.groupBy(group).agg(F.count_if(t != "").alias("maps"), F.sum(F.regexp_count(t, F.lit('keys="product-name"'))).alias("products"))
+    i = images.groupBy(group).agg(F.sum(F.col("ok") + F.col("bad")).alias("measured"))
+    g = g.join(m, group, "left").join(i, group, "left").na.fill(0, ["maps", "products", "measured"])
+    passes = {
+        "a": (F.col("typed") > 0, "fail"), "b": (F.col("maps") > 0, "fail"), "c": (F.col("tables") > 0, "warn"), "d": (F.col("abbreviations") == 0, "fail"),
+        "e": (F.col("shortdescs") == F.col("topics"), "warn"), "f": (F.col("products") > 0, "warn"), "g": (F.col("keywords") == F.col("topics"), "warn"), "h": (F.col("xrefs") > 0, "warn"),
+        "i": (F.col("measured") > 0, "warn"), "j": ((F.col("images") > 0) & (F.col("alts") == F.col("images")), F.when(F.col("images") == 0, "warn").otherwise("fail")), "k": (F.lit(True), "fail"),
+    }
+    cells = F.array(*(F.struct(F.lit(n + 1).alias("place"), F.lit(k).alias("feature"), F.when(ok, "pass").otherwise(other).alias("status")) for n, (k, (ok, other)) in enumerate(passes.items())))
     return g.select(group, F.inline(cells))
 
 
+def domain_ranks(names: DataFrame, name: str = "domain") -> DataFrame:
+    """(name, n, place): domain elements, the most frequent first, equal ones by name; there are as many rows as element names."""
+    g = names.groupBy(name).agg(F.count("*").alias("n"))
+    return g.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), name)))
+
+
+#: Limits of an image, and the qualities tried in turn until it keeps the size limit.
+IMAGE_WIDTH, IMAGE_BYTES = 1000, 204_800
+QUALITIES = (85, 75, 65, 55, 45)
+
+
+def image_work(images: DataFrame, width: int = IMAGE_WIDTH, size: int = IMAGE_BYTES) -> DataFrame:
+    """``images`` (name, width, bytes, ...) with what keeps them within the limits: ``new_width`` (null: as it is), ``recode``, ``new_name``.
+
+    Only images that break a limit are touched. PNG files over the size limit become JPEG under a new name; unreadable ones (null width) stay.
+    """
+    heavy = F.coalesce(F.col("bytes") > size, F.lit(False)) & F.col("width").isNotNull()
+    png = F.lower("name").rlike(r"\.png$")
+    return images.select(
+        "*", F.when(F.col("width") > width, width).alias("new_width"), heavy.alias("recode"),
+        F.when(heavy & png, F.regexp_replace("name", r"(?i)\.png$", ".jpg")).otherwise(F.col("name")).alias("new_name"),
+    )
+
 
-def image_cap_audit(images: DataFrame, width: int = 1000, size: int = 204_800) -> DataFrame:
+def image_cap_audit(images: DataFrame, width: int = IMAGE_WIDTH, size: int = IMAGE_BYTES) -> DataFrame:
     """(doc_id, ok, bad) of images (doc_id, width, bytes) against the caps; unreadable ones (null) do not count."""
     ok = (F.col("width") <= width) & (F.col("bytes") <= size)
     return images.where("width is not null and bytes is not null").groupBy("doc_id").agg(F.count_if(ok).alias("ok"), F.count_if(~ok).alias("bad"))

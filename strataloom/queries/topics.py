@@ -286,12 +286,12 @@ files as (select doc_id, topic_ix, {name_sql("coalesce(title, '')", 'topic_type'
  coalesce(body_xml, ''), '</' || tt || '>') as xml from f0)"""
 
 
-def _topic_rows(spark: SparkSession, sf: str) -> DataFrame:
+def topic_table(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "topic").select("doc_id", "topic_ix", "title", "topic_type", "body_xml", "shortdesc", "keywords").distinct()
 
 
 def files(spark: SparkSession, sf: str) -> DataFrame:
-    return E.topic_files(_topic_rows(spark, sf))
+    return E.topic_files(topic_table(spark, sf))
 
 
 @query("c18_topic_files", f"with {_FILES} select *, count(*) over (partition by doc_id, filename) > 1 as clash from files")
@@ -306,7 +306,7 @@ _FIRST_WORD = _FILES.replace("ft as (select distinct doc_id, topic_ix, title, to
 @query("b1_file_clashes", f"with {_FIRST_WORD} select doc_id, filename, count(*) as n, min(topic_ix)::int as first from files group by all having count(*) > 1")
 def b1_file_clashes(spark, sf):
     """B1: topics of a document that would be written under one name; titles are cut to their first word, so that there are some."""
-    t = _topic_rows(spark, sf).select("doc_id", "topic_ix", F.substring_index("title", " ", 1).alias("title"), F.lit("task").alias("topic_type"), "body_xml", "shortdesc", "keywords")
+    t = topic_table(spark, sf).select("doc_id", "topic_ix", F.substring_index("title", " ", 1).alias("title"), F.lit("task").alias("topic_type"), "body_xml", "shortdesc", "keywords")
     f = E.topic_files(t.distinct()).where("clash")
     return f.groupBy("doc_id", "filename").agg(F.count("*").alias("n"), F.min("topic_ix").alias("first"))
 
@@ -360,7 +360,7 @@ def j8_written_links(spark, sf):
     """Emitted files whose links were made for another topic type, led to the files that exist."""
     name = T.topic_filename(F.coalesce("title", F.lit("")), F.col("topic_type"))
     links = F.concat(F.lit('\n<p><xref class="a" href="'), "stale", F.lit('">x</xref><xref href="http://site/'), "stale", F.lit('"/><xref href="c_nowhere.dita"/></p>'))
-    t = _topic_rows(spark, sf).withColumn("filename", name).withColumn("stale", _stale("filename"))
+    t = topic_table(spark, sf).withColumn("filename", name).withColumn("stale", _stale("filename"))
     f = E.topic_files(t.withColumn("body_xml", F.concat(F.coalesce("body_xml", F.lit("")), links)))
     return E.write_references(f.select("doc_id", "topic_ix", "filename", "xml"))
 

@@ -125,7 +125,7 @@ def log_summary(logs: DataFrame, name: str, text: str = "text", code: str = "cod
     """(name, result, errors, passed, line): what a run's log says; passed takes a PASS and return code 0."""
     got = log_results(logs, text)
     passed = (F.col("result") == "PASS") & (F.col(code) == 0)
-    line = F.concat_ws("\t", F.when(passed, "PASS").otherwise("FAIL"), F.col(name), "result", F.concat(F.lit("errs="), F.col("errors").cast("string")))
+    line = F.concat_ws("\t", F.when(passed, "PASS").otherwise("FAIL"), name, "result", F.concat(F.lit("errs="), F.col("errors").cast("string")))
     return got.select(name, "result", "errors", passed.alias("passed"), line.alias("line"))
 
 

@@ -11,26 +11,24 @@ def write_topics(files: DataFrame, folder: str) -> None:
     files.write.mode("overwrite").parquet(folder)
 
 
-def write_texts(files: DataFrame, folder: str, name: str = "filename", text: str = "xml") -> int:
-    """One text file per row under ``folder``/doc_id, written by the tasks on storage they all share.
+def write_texts(files: DataFrame, folder: str, name: str = "filename", text: str = "xml") -> DataFrame:
+    """The texts as files below ``folder``/doc_id=.../name=.../, on any file system that Spark writes to; returns what is stored.
 
-    Returns the number of files. Later rows of one name replace earlier ones (topic_ix order within a document).
+    Of rows with one name in a document, the last by topic_ix is written. Names keep no folders; null texts are empty files.
     """
-    from pathlib import Path
+    base = F.regexp_extract(F.coalesce(name, F.lit("")), r"([^/\\]*)$", 1)
+    last = files.select("doc_id", base.alias("name"), "topic_ix", F.coalesce(text, F.lit("")).alias("value")).groupBy("doc_id", "name").agg(F.max_by("value", "topic_ix").alias("value"))
+    last.repartition("doc_id", "name").write.mode("overwrite").partitionBy("doc_id", "name").text(folder)
+    return files.sparkSession.read.option("wholetext", True).text(folder)
 
-    def write(rows):
-        n = 0
-        for r in rows:
-            target = Path(folder, str(r["doc_id"]), Path(r[name]).name)
-            target.parent.mkdir(parents=True, exist_ok=True)
-            part = target.with_suffix(target.suffix + ".part")
-            part.write_text(r[text] or "", encoding="utf-8")
-            part.replace(target)
-            n += 1
-        yield n
 
-    ordered = files.select("doc_id", "topic_ix", name, text).repartition("doc_id").sortWithinPartitions("doc_id", "topic_ix")
-    return sum(ordered.rdd.mapPartitions(write).collect())  # one number per partition
+def append_images(images: DataFrame, stored: DataFrame | None, folder: str, endings: tuple[str, ...] = (".png", ".jpg", ".jpeg")) -> DataFrame:
+    """New images (doc_id, name, content) with one of the ``endings`` appended to ``folder``; those stored before under a name are left alone."""
+    fresh = images.where(F.lower("name").rlike("(" + "|".join(e.replace(".", r"\.") for e in endings) + ")$")).select("doc_id", "name", "content").dropDuplicates(["doc_id", "name"])
+    if stored is not None:
+        fresh = fresh.join(stored.select("doc_id", "name").distinct(), ["doc_id", "name"], "left_anti")
+    fresh.write.mode("append").parquet(folder)
+    return fresh
 
 
 def append_cache(results: DataFrame, cache: DataFrame | None, folder: str, key: str = "key") -> DataFrame:
@@ -48,7 +46,12 @@ def write_summary(lines: DataFrame, folder: str) -> None:
 
 
 def batch_report(runs: DataFrame) -> DataFrame:
-    """(json): totals and one entry per run; runs are few against documents, and each entry is a row of the array."""
-    entry = F.struct(F.col("client_id").alias("client"), "stages", "done", "failed")
-    g = runs.agg(F.count("*").alias("total"), F.round(F.sum("seconds"), 2).alias("seconds"), F.sort_array(F.collect_list(entry)).alias("results"))
-    return g.select(F.to_json(F.struct("total", "seconds", "results")).alias("json"))
+    """(client, json): a line per run, and the totals under a null client; no task holds all runs."""
+    entry = runs.select("client_id", F.to_json(F.struct(F.col("client_id").alias("client"), "stages", "done", "failed")).alias("json"))
+    totals = runs.agg(F.count("*").alias("total"), F.count_if(F.col("failed") == 0).alias("passed"), F.round(F.sum("seconds"), 2).alias("seconds"))
+    return entry.unionAll(totals.select(F.lit(None).cast("string"), F.to_json(F.struct("total", "passed", "seconds")))).withColumnRenamed("client_id", "client")
+
+
+def write_batch_report(runs: DataFrame, folder: str) -> None:
+    """The lines of ``batch_report`` as text files of JSON lines."""
+    batch_report(runs).select("json").write.mode("overwrite").text(folder)

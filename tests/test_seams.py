@@ -1,6 +1,7 @@
 """Annotators, decoders, sinks, streams and the registry."""
 
 import json
+import re
 import sys
 
 import pytest
@@ -90,15 +91,73 @@ def test_files_and_sinks(spark, tmp_path):
     with pytest.raises(files.DecoderMissing):
         files.decode(spark, str(tmp_path / "in"), None)
     out = spark.createDataFrame([(1, 0, "x.dita", "<a/>"), (1, 1, "x.dita", "<b/>"), (2, 0, "../y.dita", None)], "doc_id bigint, topic_ix int, filename string, xml string")
-    assert sinks.write_texts(out, str(tmp_path / "out")) == 3
-    assert (tmp_path / "out/1/x.dita").read_text() == "<b/>" and (tmp_path / "out/2/y.dita").read_text() == ""
+    stored = {(r["doc_id"], r["name"]): r["value"] for r in sinks.write_texts(out, str(tmp_path / "out")).collect()}
+    assert stored == {(1, "x.dita"): "<b/>", (2, "y.dita"): ""} and (tmp_path / "out/doc_id=1/name=x.dita").is_dir() and (tmp_path / "out/doc_id=2/name=y.dita").is_dir()
+    images = spark.createDataFrame([(1, "a.PNG", b"1"), (1, "a.PNG", b"1"), (1, "b.gif", b"2"), (1, "c.jpg", b"3")], "doc_id bigint, name string, content binary")
+    assert sinks.append_images(images, None, str(tmp_path / "images")).count() == 2
+    assert sinks.append_images(images, spark.read.parquet(str(tmp_path / "images")), str(tmp_path / "images")).count() == 0
     results = spark.createDataFrame([("k", "r"), ("k", "r"), ("l", "s")], "key string, reply string")
     assert sinks.append_cache(results, None, str(tmp_path / "cache")).count() == 2
     again = sinks.append_cache(spark.createDataFrame([("k", "r"), ("m", "t")], "key string, reply string"), spark.createDataFrame([("k", "r"), ("l", "s")], "key string, reply string"), str(tmp_path / "cache"))
     assert [r["key"] for r in again.collect()] == ["m"] and spark.read.parquet(str(tmp_path / "cache")).count() == 3
     sinks.write_summary(spark.createDataFrame([("PASS", "x")], "a string, b string"), str(tmp_path / "tsv"))
-    report = json.loads(sinks.batch_report(spark.createDataFrame([("c", 3, 2, 1, 1.5)], "client_id string, stages int, done int, failed int, seconds double")).first()[0])
-    assert report["total"] == 1 and report["results"][0]["client"] == "c"
+    runs = spark.createDataFrame([("c", 3, 2, 1, 1.5), ("d", 1, 1, 0, 2.0)], "client_id string, stages int, done int, failed int, seconds double")
+    report = {r["client"]: json.loads(r["json"]) for r in sinks.batch_report(runs).collect()}
+    assert report[None] == {"total": 2, "passed": 1, "seconds": 3.5} and report["c"] == {"client": "c", "stages": 3, "done": 2, "failed": 1}
+    sinks.write_batch_report(runs, str(tmp_path / "report"))
+    assert spark.read.json(str(tmp_path / "report")).count() == 3
+
+
+class FlatCodec:
+    """A picture is its width, a colon and filling; quality q leaves q per cent."""
+
+    def width(self, content):
+        return int(content.split(b":")[0])
+
+    def narrow(self, content, width):
+        return b"%d:" % width + content.split(b":")[1]
+
+    def jpeg(self, content, quality):
+        return content[: len(content) * quality // 100]
+
+
+def test_images_are_capped(spark):
+    data = [(1, "a.png", b"500:x"), (1, "b.PNG", b"1500:" + b"x" * 100), (1, "c.jpg", b"900:" + b"x" * 60), (1, "d.png", b"broken"), (1, "e.png", b"700:" + b"x" * 9000)]
+    from strataloom.sources import images
+
+    got = {r["name"]: (len(r["content"]), r["changed"]) for r in images.cap_images(spark.createDataFrame(data, "doc_id bigint, name string, content binary"), FlatCodec(), size=60).collect()}
+    assert got == {"a.png": (5, False), "b.jpg": (57, True), "c.jpg": (54, True), "d.png": (6, False), "e.jpg": (4051, True)}
+    with pytest.raises(files.DecoderMissing):
+        images.cap_images(None, None)
+
+
+def test_uploads_as_a_stream(spark, tmp_path):
+    (tmp_path / "up").mkdir()
+    (tmp_path / "up/One.PDF").write_bytes(b"1")
+    (tmp_path / "up/two.txt").write_bytes(b"2")
+    files.uploads(spark, str(tmp_path / "up")).writeStream.format("memory").queryName("ups").trigger(availableNow=True).start().awaitTermination()
+    got = spark.table("ups").collect()
+    assert len(got) == 1 and re.fullmatch(r"[0-9a-f]{8}_One.PDF", got[0]["name"]) and bytes(got[0]["content"]) == b"1"
+
+
+def test_prompt_cache():
+    now, made = [0.0], []
+    cache = A.PromptCache(lambda model, system: made.append((model, system)) or (f"n{len(made)}" if system != "bad" else None), seconds=100, margin=10, clock=lambda: now[0])
+    assert [cache.name("m", "s"), cache.name("m", "s"), cache.name("k", "s")] == ["n1", "n1", "n2"]
+    now[0] = 95.0
+    assert cache.name("m", "s") == "n3" and cache.name("m", "bad") is None and cache.name("m", "bad") is None and len(made) == 5
+
+
+def test_repair_gives_up(spark):
+    class Never:
+        def answer(self, prompts):
+            for p in prompts:
+                assert p.startswith("Error: ")
+                yield "<a>\x01</a>"
+
+    t = spark.createDataFrame([(1, "<a/>"), (2, "<a>\x02"), (3, None)], "doc_id bigint, body_xml string")
+    got = {r["doc_id"]: (r["valid"], r["tries"], r["error"] is None) for r in A.repair(t, Never()).collect()}
+    assert got == {1: (True, 0, True), 2: (False, 2, False), 3: (True, 0, True)}
 
 
 def _events(spark, rows):
@@ -135,6 +194,34 @@ def test_windows_run_to_the_end_of_the_data(spark, tmp_path):
     assert sorted(map(tuple, core.queries()["t2_stream_windows"](spark, str(tmp_path)).collect()), key=repr) == want
 
 
+def test_runs_are_forgotten_by_their_status():
+    us = 1_000_000
+    run = P.Run({}, 3600 * us, 5 * us)
+    run.add("parse", "running", 0)
+    run.add("parse", "done", 10 * us)
+    assert run.kept_until() == 15 * us and not run.open()  # 5 s after the last stage was done
+    run.add("plan", "running", 12 * us)
+    assert set(run.stages) == {"parse", "plan"} and run.kept_until() == 3612 * us
+    run.add("plan", "done", 20 * us)
+    run.add("parse", "running", 26 * us)  # after the grace: a new run
+    assert set(run.stages) == {"parse"}
+    run.add("parse", "error", 27 * us)
+    assert not run.stages and run.kept_until() is None  # at once
+    kept = P.Run({}, None, 5 * us)
+    kept.add("parse", "error", 0)
+    assert kept.stages == {"parse": ("error", 0)} and kept.kept_until() is None
+
+
+def test_snapshots_are_dropped_after_their_time(spark, tmp_path):
+    folder = tmp_path / "in"
+    for day, rows in enumerate([[("a", "parse", "done"), ("b", "parse", "running"), ("c", "parse", "error")], [("z", "parse", "running")], [("z", "plan", "running")]]):
+        _events(spark, [(c, n, s, 1.0, None, f"2024-01-0{day + 1} 00:00:00") for c, n, s in rows]).coalesce(1).write.mode("append").parquet(str(folder))
+    snaps = P.snapshots(P.read_events(spark, str(folder), 1), lateness="1 minute")
+    clients = spark.createDataFrame([(c,) for c in "abczx"], "client_id string")
+    got = {r["client_id"]: tuple(r)[1:] for r in P.poll(P.run_to_latest(snaps, "client_id"), clients).collect()}
+    assert got == {"a": (0, 0, None, True), "b": (0, 0, None, True), "c": (0, 0, None, True), "x": (0, 0, None, True), "z": (1, 0, "plan", False)}
+
+
 def test_event_stream_text(spark):
     part = lambda t: "data: " + json.dumps({"candidates": [{"content": {"parts": [{"text": t}]}}]})
     lines = [(1, 0, part("a")), (1, 1, ": ping"), (1, 2, "data: {bad"), (1, 3, part("b")), (1, 4, 'data: {"error": {"message": "full"}}'), (2, 0, "data: ")]

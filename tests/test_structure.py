@@ -150,6 +150,10 @@ def test_links_images_and_clashes(spark):
     stored = spark.createDataFrame([(1, "i.png"), (1, "i.jpg"), (1, "j.gif")], "doc_id bigint, filename string")
     refs = spark.createDataFrame([(1, "i.gif"), (1, "j.gif"), (1, "k.png")], "doc_id bigint, href string")
     assert {r["href"]: r["target"] for r in E.resolve_images(refs, stored).collect()} == {"i.gif": "i.jpg", "j.gif": "j.gif", "k.png": "k.png"}
+    text = '<a><xref class="k" href="r_x.dita">q</xref><xref href="http://h/r_x.dita"/><xref href="c_x.dita"/><xref href="c_y.dita"/><image href="i.gif" class="z"/><image class="k" href="j.gif"/><p href="r_x.dita"/></a>'
+    f = spark.createDataFrame([(1, 0, "c_x.dita", text), (1, 1, "r_y.dita", "<a/>"), (1, 2, "t_z.dita", None), (2, 0, "r_x.dita", '<xref href="r_x.dita"/>')], "doc_id bigint, topic_ix int, filename string, xml string")
+    got = {(r["doc_id"], r["topic_ix"]): r["xml"] for r in E.write_references(f, stored).collect()}
+    assert got[1, 0] == text.replace('"k" href="r_x', '"k" href="c_x').replace('href="c_y', 'href="r_y').replace("i.gif", "i.jpg") and got[1, 1] == "<a/>" and got[1, 2] is None and got[2, 0] == '<xref href="r_x.dita"/>'
     topic = spark.createDataFrame([(1, 0, "A", "task", "<taskbody/>", "s", ["K"]), (1, 1, "A", "task", None, None, None), (1, 2, None, None, "<conbody/>", " ", [])], "doc_id bigint, topic_ix int, title string, topic_type string, body_xml string, shortdesc string, keywords array<string>")
     f = {r["topic_ix"]: r for r in E.topic_files(topic).collect()}
     assert f[0]["clash"] and f[1]["clash"] and not f[2]["clash"] and f[0]["filename"] == "t_a.dita" and "<keyword " in f[0]["xml"] and "<shortdesc" not in f[2]["xml"]

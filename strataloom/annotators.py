@@ -127,10 +127,9 @@ def classify(block: DataFrame, annotator: Annotator | None = None, cache: DataFr
 
     Without an annotator the rules plan and write the topics; with one, its replies do, salvaged where broken.
     """
-    placed = sections.section_blocks(sections.clean_blocks(sections.distinct_blocks(block)))
-    planned = sections.plan_topics(sections.topic_type(sections.sections(placed)))
+    placed, planned = sections.place_blocks(block)
     titles = sections.topics(planned).select("doc_id", "topic_ix", F.col("topic_title").alias("title"), "topic_type")
-    rows = sections.topic_blocks(placed, planned)
+    rows = sections.topic_texts(block, placed, planned)
     if annotator is None:
         out = titles.join(emit.bodies(rows), ["doc_id", "topic_ix"])
         return out.select("doc_id", "topic_ix", "title", "topic_type", "body_xml", F.lit("").alias("shortdesc"), F.array().cast("array<string>").alias("keywords"))

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataloom.functions.text import SPACE, is_bold, is_footer, is_monospace, rejoin_hyphens, strip, strip_number
+from strataloom.plans.checkpoints import cut
+from strataloom.plans.running import numbered, running_total
 
 HEADING_SIZE = 12
 LINE_GAP = 4
@@ -52,6 +54,12 @@ def heading_levels(words: DataFrame) -> DataFrame:
     return sizes.withColumn("level", F.dense_rank().over(Window.partitionBy("doc_id").orderBy(F.desc("size"))))
 
 
+def page_levels(words: DataFrame) -> DataFrame:
+    """(doc_id, page, levels): the heading sizes that occur on a page, each with its level in the document, as a map."""
+    large = words.where(is_bold(F.col("fontname")) & (F.round("size", 1) > HEADING_SIZE)).select("doc_id", "page", F.round("size", 1).alias("size")).distinct()
+    return large.join(heading_levels(words).drop("n"), ["doc_id", "size"]).groupBy("doc_id", "page").agg(F.map_from_entries(F.collect_list(F.struct("size", "level"))).alias("levels"))
+
+
 def body_sizes(words: DataFrame) -> DataFrame:
     """(doc_id, page, body): the size with most characters of a page; of equal ones the first seen."""
     sizes = words.groupBy("doc_id", "page", F.round("size", 1).alias("size")).agg(F.sum(F.length("text")).alias("n"), F.min("word_ix").alias("first"))
@@ -92,20 +100,29 @@ def body_lines(all_lines: DataFrame, bodies: DataFrame) -> DataFrame:
     return j.where(~small & (F.col("text") != "")).drop("body")
 
 
+def without_running_heads(text_lines: DataFrame) -> DataFrame:
+    """Lines without the short ones near the top of a page that come before any other line of their document.
+
+    What a document has before a page is known from one row per page.
+    """
+    head = (F.length("text") < HEADER_CHARS) & (F.col("top") < HEADER_TOP) & ~F.col("text").rlike(r"^[0-9]+\.")
+    x = text_lines.withColumn("_head", head)
+    first = x.groupBy("doc_id", "page").agg(F.min(F.when(~F.col("_head"), F.col("line_ix"))).alias("_first"))
+    has = F.col("_first").isNotNull().cast("int")
+    pages = running_total(first, "doc_id", "page", has, "_pages").select("doc_id", "page", "_first", (F.col("_pages") > has).alias("_begun"))
+    x = x.join(pages, ["doc_id", "page"])
+    return x.where(~F.col("_head") | F.col("_begun") | F.coalesce(F.col("line_ix") > F.col("_first"), F.lit(False))).select(*text_lines.columns)
+
+
 def blocks(text_lines: DataFrame, levels: DataFrame) -> DataFrame:
-    """(doc_id, block_ix, type, text, page, level) of body lines.
+    """(doc_id, block_ix, type, text, page, level) of body lines; ``levels`` are those of ``page_levels``.
 
     Monospace runs are code, large bold lines headings, bold lines with "Note:" notes that take in the plain lines after
     them, numbered lines list items; other lines join into paragraphs until the gap exceeds 0.6 of the font size.
     Runs end with the page. Short first lines near the top of the document are running heads; blocks that look
-    like page footers are dropped.
+    like page footers are dropped. No window is wider than a page.
     """
-    known = levels.select(F.col("doc_id").alias("_d"), F.col("size").alias("_size"), "level")
-    x = text_lines.join(known, (F.col("doc_id") == F.col("_d")) & (F.col("size") == F.col("_size")), "left").drop("_d", "_size")
-    doc = Window.partitionBy("doc_id").orderBy("page", "line_ix")
-    header = (F.length("text") < HEADER_CHARS) & (F.col("top") < HEADER_TOP) & ~F.col("text").rlike(r"^[0-9]+\.")
-    x = x.withColumn("_head", header).withColumn("_begun", F.coalesce(F.max((~F.col("_head")).cast("int")).over(doc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) == 1)
-    x = x.where(~F.col("_head") | F.col("_begun"))
+    x = without_running_heads(text_lines).join(levels, ["doc_id", "page"], "left").withColumn("level", F.try_element_at("levels", F.col("size"))).drop("levels")
     kind = (
         F.when(is_monospace(F.col("fontname")), "code")
         .when(is_bold(F.col("fontname")) & F.col("level").isNotNull(), "heading")
@@ -129,17 +146,17 @@ def blocks(text_lines: DataFrame, levels: DataFrame) -> DataFrame:
     parts = F.transform("parts", lambda p: p["text"])
     g = g.withColumn("text", F.when(F.col("type") == "code", F.array_join(parts, "\n")).otherwise(F.array_join(parts, " ")))
     g = g.where(F.col("type").isin("code", "list_item") | ~is_footer(F.col("text"), F.col("page")))
-    ix = F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "first")) - 1
-    return g.select("doc_id", ix.alias("block_ix"), "type", F.when(F.col("type") == "heading", strip_number(F.col("text"))).otherwise(F.col("text")).alias("text"), "page", F.when(F.col("type") == "heading", F.col("level")).otherwise(0).cast("int").alias("level"))
+    g = numbered(g.drop("parts"), "doc_id", "page", ["first"], "block_ix")
+    return g.select("doc_id", "block_ix", "type", F.when(F.col("type") == "heading", strip_number(F.col("text"))).otherwise(F.col("text")).alias("text"), "page", F.when(F.col("type") == "heading", F.col("level")).otherwise(0).cast("int").alias("level"))
 
 
 def layout_blocks(words: DataFrame, boxes: DataFrame, pages: DataFrame) -> DataFrame:
     """The whole way from words to blocks, without contents and cover pages and without table words."""
     skip = contents_pages(pages).unionAll(cover_pages(words)).distinct()
     kept = words.join(skip, ["doc_id", "page"], "left_anti")
-    levels = heading_levels(words)
+    levels = page_levels(words)
     outside = words_outside_tables(line_words(kept), boxes)
-    return blocks(body_lines(lines(outside), body_sizes(kept)), levels)
+    return blocks(cut(body_lines(lines(outside), body_sizes(kept))), levels)  # lines are read four times below
 
 
 def insert_tables(block: DataFrame, tables: DataFrame) -> DataFrame:
@@ -171,5 +188,5 @@ def append_images(block: DataFrame, images: DataFrame) -> DataFrame:
 
 
 def number_images(images: DataFrame) -> DataFrame:
-    """Images with ``seq``, counted through the document by page and place."""
-    return images.withColumn("seq", F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "img_ix")))
+    """Images with ``seq``, counted from 1 through the document by page and place."""
+    return numbered(images, "doc_id", "page", ["img_ix"], "seq").withColumn("seq", F.col("seq") + 1)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataloom.functions.text import SPACE, product_name, strip
+from strataloom.plans.checkpoints import cut
 from strataloom.plans.running import running_total
 
 # What titles and texts of the topic types contain.
@@ -129,6 +130,22 @@ def topic_blocks(placed: DataFrame, planned: DataFrame) -> DataFrame:
     return j.select("doc_id", "topic_ix", "topic_type", "pos", "type", "text", "page", F.when(F.col("type") == "heading", 2).otherwise(F.col("level")).alias("level"))
 
 
+def place_blocks(block: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Planning rows with ``section_ix``, written once to a checkpoint as both plan and topics are made of them, and the planned sections."""
+    rows = cut(section_blocks(planning_rows(block)))
+    return rows, plan_topics(topic_type(sections(rows)))
+
+
+def topic_texts(block: DataFrame, rows: DataFrame, planned: DataFrame) -> DataFrame:
+    """``topic_blocks`` with the texts of ``block``, which meet the narrow rows once and are moved only for that.
+
+    Positions must be unique in a document; rows delivered twice come out once.
+    """
+    keyed = topic_blocks(rows, planned).drop("text")
+    joined = block.select("doc_id", "pos", "text").join(keyed, ["doc_id", "pos"]).dropDuplicates(["doc_id", "pos"])
+    return joined.select("doc_id", "topic_ix", "topic_type", "pos", "type", "text", "page", "level")
+
+
 def empty_topics(planned: DataFrame) -> DataFrame:
     """(doc_id, topics, skipped): topics planned, and those without any block that will be skipped."""
     per = planned.groupBy("doc_id", "topic_ix").agg(F.sum("n_blocks").alias("n"), F.count("*").alias("sections"))

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 #: Bits of one row of the bitmap functions.
 ROW_BITS = 32_768
@@ -30,3 +32,35 @@ def passes(packed: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
     """Which of the int64 ``keys`` may be among those that the filter was made of; false only for those that are not."""
     at = keys & ((1 << bits) - 1)
     return (packed[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+#: Bits of the filters that set rows apart (8 MB).
+APART_BITS = 26
+
+
+def set_apart(rows: DataFrame, key: Column, keys: DataFrame, bits: int = APART_BITS) -> tuple[DataFrame, DataFrame]:
+    """``rows`` whose ``key`` (bigint) may be one of ``keys`` (one column), and the rows with whose key that cannot be.
+
+    The second part needs neither a shuffle nor a join to know that it has no partner; only the keys of the rows go to Python.
+    """
+    name = keys.columns[0]
+    packed = rows.sparkSession.sparkContext.broadcast(bit_filter(keys, name, bits))
+
+    @F.pandas_udf(BooleanType())
+    def may(k: pd.Series) -> pd.Series:
+        return pd.Series(passes(packed.value, k.to_numpy(), bits))
+
+    marked = rows.withColumn("_may", may(key))
+    return marked.where("_may").drop("_may"), marked.where("not _may").drop("_may")
+
+
+def repeated_keys(rows: DataFrame, key: Column) -> DataFrame:
+    """(key): the hashes that more than one row has; eight bytes a row are shuffled."""
+    return rows.select(key.alias("key")).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+
+
+def distinct_in_place(rows: DataFrame) -> DataFrame:
+    """``rows.distinct()`` for rows of which few are repeated: only rows whose hash occurs twice are shuffled."""
+    key = F.xxhash64(*rows.columns)
+    twice, once = set_apart(rows, key, repeated_keys(rows, key))
+    return once.unionAll(twice.distinct())

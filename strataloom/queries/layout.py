@@ -31,25 +31,23 @@ wb as (select *, top + size as bottom from words)
 """
 
 
-def _texts(spark: SparkSession, sf: str) -> DataFrame:
-    """Texts placed by document before they grow into words; all windows and joins below keep this placement."""
-    return table(spark, sf, "documents").where("text is not null").select("doc_id", "text").repartition("doc_id")
-
-
 def _lines(spark: SparkSession, sf: str) -> DataFrame:
-    lines = _texts(spark, sf).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    return lines.withColumn("line", F.when(F.col("line_no") % NOTE_EVERY == 7, F.concat(F.lit("Note: "), "line")).otherwise(F.col("line")))
+    """Lines placed by page before they grow into words; all windows and joins on pages below keep this placement."""
+    texts = table(spark, sf, "documents").where("text is not null").select("doc_id", "text")
+    lines = texts.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    lines = lines.withColumn("line", F.when(F.col("line_no") % NOTE_EVERY == 7, F.concat(F.lit("Note: "), "line")).otherwise(F.col("line")))
+    return lines.withColumn("page", (F.floor(F.col("line_no") / LINES_A_PAGE) + 1).cast("int")).repartition("doc_id", "page")
 
 
 def words(spark: SparkSession, sf: str) -> DataFrame:
     lines = _lines(spark, sf)
     starts = F.expr("transform(split(line, ' ', -1), (p, i) -> named_struct('t', p, 'x', if(i = 0, 0, length(substring_index(line, ' ', i)) + 1)))")
-    ws = lines.select("doc_id", "line_no", F.startswith("line", F.lit("Note:")).alias("noted"), F.posexplode(starts).alias("k", "z")).select("doc_id", "line_no", "noted", "k", F.col("z.t").alias("text"), F.col("z.x").alias("x")).where("text <> ''")
+    ws = lines.select("doc_id", "page", "line_no", F.startswith("line", F.lit("Note:")).alias("noted"), F.posexplode(starts).alias("k", "z")).select("doc_id", "page", "line_no", "noted", "k", F.col("z.t").alias("text"), F.col("z.x").alias("x")).where("text <> ''")
     row = F.col("line_no") % LINES_A_PAGE
     size = F.when((F.col("line_no") == 0) & (F.col("doc_id") % 10 == COVER), 36).when(F.col("line_no") == 0, 18).when(F.col("noted"), 10).when(F.col("line_no") % 12 == 0, 14).when(F.col("line_no") % 17 == 0, 9).when(F.col("line_no") % 23 == 0, 8).otherwise(10).cast("double")
     top = (F.when(row == 0, 40).otherwise(60) + 14 * row + F.when(F.col("line_no") % 5 == 0, 10).otherwise(0)).cast("double")
     font = F.when((F.col("line_no") == 0) | F.col("noted") | (F.col("line_no") % 12 == 0), "Garamond-Bold").when(F.col("line_no") % 17 == 0, "CourierNew").otherwise("Garamond")
-    return ws.select("doc_id", (F.floor(F.col("line_no") / LINES_A_PAGE) + 1).cast("int").alias("page"), (row * 10000 + F.col("k")).cast("int").alias("word_ix"), "text", (7.0 * F.col("x")).alias("x0"), (7.0 * (F.col("x") + F.length("text"))).alias("x1"), top.alias("top"), (top + size).alias("bottom"), font.alias("fontname"), size.alias("size"))
+    return ws.select("doc_id", "page", (row * 10000 + F.col("k")).cast("int").alias("word_ix"), "text", (7.0 * F.col("x")).alias("x0"), (7.0 * (F.col("x") + F.length("text"))).alias("x1"), top.alias("top"), (top + size).alias("bottom"), font.alias("fontname"), size.alias("size"))
 
 
 BOXES = f"boxes as (select distinct doc_id, page, 0.0::double as x0, {60 + 14 * 10}.0::double as top, 5000.0::double as x1, {60 + 14 * 12 + 30}.0::double as bottom from words where page % 3 = 0)"
@@ -65,7 +63,7 @@ PAGES = f"pages as (select doc_id, (line_no // {LINES_A_PAGE} + 1)::int as page,
 
 def pages(spark: SparkSession, sf: str) -> DataFrame:
     lines = _lines(spark, sf)
-    g = lines.groupBy("doc_id", (F.floor(F.col("line_no") / LINES_A_PAGE) + 1).cast("int").alias("page")).agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("p"))
+    g = lines.groupBy("doc_id", "page").agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("p"))
     head = F.when((F.col("doc_id") % 10 == CONTENTS) & (F.col("page") == 2), "TABLE of Contents\n").otherwise("")
     return g.select("doc_id", "page", F.concat(head, F.array_join(F.transform("p", lambda x: x["line"]), "\n")).alias("text"))
 

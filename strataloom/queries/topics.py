@@ -106,8 +106,8 @@ def _sections(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def topic_rows(spark: SparkSession, sf: str) -> DataFrame:
-    placed = _placed(spark, sf)
-    return S.topic_blocks(placed, S.plan_topics(S.topic_type(S.sections(placed))))
+    block = table(spark, sf, "block")
+    return S.topic_texts(block, *S.place_blocks(block))
 
 
 @query("c11_clean_blocks", f"with {BLOCKS}, {_CLEAN} select doc_id, pos, type, text from cb")
@@ -150,7 +150,8 @@ def flagship_topics(spark, sf):
 @query("j7_topic_blocks", f"with {BLOCKS}, {_TOPIC_BLOCKS} select doc_id, topic_ix, pos, type, level::int as level from tb")
 def j7_topic_blocks(spark, sf):
     """Blocks bound to topics."""
-    return topic_rows(spark, sf).select("doc_id", F.col("topic_ix").cast("bigint").alias("topic_ix"), "pos", "type", F.col("level").cast("int").alias("level"))
+    rows = S.topic_blocks(*S.place_blocks(table(spark, sf, "block")))
+    return rows.select("doc_id", F.col("topic_ix").cast("bigint").alias("topic_ix"), "pos", "type", F.col("level").cast("int").alias("level"))
 
 
 @query("j7_planned_sections", "select distinct doc_id, topic_ix, topic_title, k::int as k, section_ix from (select doc_id, topic_ix, topic_title, unnest(section_indices) as section_ix, unnest(range(len(section_indices))) as k from topic_plan)")
@@ -192,10 +193,12 @@ pb as (select doc_id, topic_ix, string_agg(case when type = 'heading' then '[SUB
 @query("c14_prompts", f"with {BLOCKS}, {_TOPIC_BLOCKS}, {_HEADS} select doc_id, topic_ix, head || prompt as prompt from pb join hd2 using (doc_id, topic_ix)")
 def c14_prompts(spark, sf):
     """C14: whole prompts, with titles, products (of every third document, named by its source) and the files of other topics."""
-    titles = S.topics(_planned(spark, sf)).select("doc_id", "topic_ix", F.col("topic_title").alias("title"), "topic_type")
+    block = table(spark, sf, "block")
+    rows, planned = S.place_blocks(block)
+    titles = S.topics(planned).select("doc_id", "topic_ix", F.col("topic_title").alias("title"), "topic_type")
     docs = table(spark, sf, "documents").groupBy("doc_id").agg(F.max("title").alias("document"), F.max(F.when(F.col("doc_id") % 3 == 0, F.upper("source"))).alias("product"))
     heads = titles.join(docs, "doc_id", "left").withColumn("filename", T.topic_filename(F.col("title"), F.col("topic_type")))
-    return S.prompts(topic_rows(spark, sf), heads).select("doc_id", F.col("topic_ix").cast("bigint").alias("topic_ix"), "prompt")
+    return S.prompts(S.topic_texts(block, rows, planned), heads).select("doc_id", F.col("topic_ix").cast("bigint").alias("topic_ix"), "prompt")
 
 
 @query("j10_other_titles", "with t as (select distinct doc_id, topic_ix, topic_title from topic_plan), g as (select doc_id, list(topic_title order by topic_ix) as l from t group by doc_id) select doc_id, topic_ix, array_to_string(list_filter(l, lambda x: x <> topic_title), ', ') as others from t join g using (doc_id)")

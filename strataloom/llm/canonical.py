@@ -24,10 +24,16 @@ LOOK_ALIKES = (
     ("АВЕЅІЈКМНОРСТУХаеѕіјорсухԁԛԝһԍ", "ABESIJKMHOPCTYXaesijopcyxdqwhg"),  # Cyrillic
     ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧαινορυγ", "ABEZHIKMNOPTYXaivopuy"),  # Greek
     ("кмтвнгп", "kmtbhrn"),  # Cyrillic small letters alike in some typefaces
+    ("ԼՍՏՕգզհյոռսցօ", "LUSOqqhjnnugo"),  # Armenian
+    ("ⲂⲎⲒⲔⲘⲚⲞⲢⲤⲦⲨⲬⲟⲣⲥ", "BHIKMNOPCTYXopc"),  # Coptic
+    ("ᎠᎡᎢᎥᎩᎪᎫᎬᎳᎷᎻᏀᏂᏃᏏᏒᏔᏕᏙᏚᏞᏟᏢᏦᏧᏳᏴ", "DRTiYAJEWMHGhZbRWSVSLCPKdGB"),  # Cherokee
+    ("ყჿ", "yo"),  # Georgian
 )
 #: Scripts whose letters are mistaken for Latin ones; letters of scripts that are written without blanks (Han, Thai) may
 #: well stand beside Latin words.
 ALPHABETS = ("GREEK", "CYRILLIC", "ARMENIAN", "COPTIC", "CHEROKEE", "GEORGIAN")
+#: Ranges of forms that stand for one plain character and are folded, though they are no fault: half-width letters, mathematical ones.
+PLAIN_FORMS = ((0xFF61, 0xFFDC), (0x1D400, 0x1D7FF))
 _LATIN, _OTHER = 1, 2
 
 
@@ -63,6 +69,11 @@ def tables() -> dict[str, np.ndarray]:
                 pairs[int(parts[0], 16), int(parts[1], 16)] = c
             elif len(composed) == 1 and composed != ch and flag[c] == 0:
                 fold[c] = ord(composed)
+    for first, last in PLAIN_FORMS:
+        for c in range(first, last + 1):
+            plain = unicodedata.normalize("NFKC", chr(c))
+            if len(plain) == 1:
+                fold[c] = ord(plain)
     for c in ZERO_WIDTHS:
         length[c], flag[c] = 0, ZERO_WIDTH
     for c, text in LIGATURES.items():
@@ -209,8 +220,8 @@ def canonical_texts(texts: DataFrame) -> DataFrame:
     """``texts`` (field, doc_id, ix, text) with text in its consistent form and ``found``, the bits of ``FLAGS``.
 
     Full-width forms and presentation ligatures become plain letters, special spaces the space; zero-width
-    characters go; letters of another script inside a Latin word become the Latin letters they look like; marks
-    are composed with their letters. Whole words or symbols of other scripts, hyphens, dashes and quotation
+    characters go; letters of another script inside a Latin word become the Latin letters they look like (those that look like
+    none stay); marks are composed with their letters. Half-width and mathematical letters become plain ones, without being a fault. Whole words or symbols of other scripts, hyphens, dashes and quotation
     marks stay. Conjoining Hangul letters stay as they are.
 
     Null stays null and empty stays empty, both with nothing found. Every row comes out, repeated ones too.

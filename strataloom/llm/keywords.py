@@ -55,5 +55,5 @@ def keyword_scores(records: DataFrame, ids: tuple[str, ...] = ("doc_id", "topic_
 
 
 def distinctive_keywords(topic: DataFrame, low: int = 2, high: int = 8) -> DataFrame:
-    """Scored keywords that at least ``low`` and at most ``high`` topics carry."""
-    return keyword_scores(topic).where(F.col("n_records").between(low, high) & (F.col("score") >= 0))
+    """Scored keywords that at least ``low`` and at most ``high`` topics carry; the bounds are counts, the score ranks what is within them."""
+    return keyword_scores(topic).where(F.col("n_records").between(low, high))

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strataloom.plans.filters import distinct_in_place
+
 #: Sentences on either side of a gap whose words are compared.
 SIDE = 3
 #: A cut keeps at least this share of the limit, where a boundary allows.
@@ -129,9 +131,12 @@ def oversized_blocks(block: DataFrame, limits: DataFrame) -> DataFrame:
 
 
 def all_pieces(block: DataFrame, limits: DataFrame) -> DataFrame:
-    """Every block with a text, oversized ones as their pieces: (doc_id, pos, piece_ix, n_pieces, text)."""
+    """Every block with a text, oversized ones as their pieces: (doc_id, pos, piece_ix, n_pieces, text).
+
+    Rows delivered twice come out once; only those and oversized texts are shuffled.
+    """
     cut = split_oversized(block, limits).select("doc_id", "pos", "piece_ix", "n_pieces", "text")
     caps = limits.where("applies_to = 'block' and type is not null and max_size > 0").groupBy(F.col("type").alias("_type")).agg(F.min("max_size").alias("max_size"))
     whole = block.where("text is not null").select("doc_id", "pos", "type", "text").join(F.broadcast(caps), F.col("type") == F.col("_type"), "left").where("max_size is null or length(text) <= max_size")
-    whole = whole.select("doc_id", "pos", F.lit(0).alias("piece_ix"), F.lit(1).alias("n_pieces"), "text")
-    return whole.unionAll(cut).distinct()
+    whole = distinct_in_place(whole.select("doc_id", "pos", "text")).select("doc_id", "pos", F.lit(0).alias("piece_ix"), F.lit(1).alias("n_pieces"), "text")
+    return whole.unionAll(cut.distinct())

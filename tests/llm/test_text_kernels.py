@@ -57,6 +57,7 @@ def test_what_is_found():
     cases = {
         "plain façade": (0, "plain façade"), "Ｏｖｅｒ": (FULL_WIDTH, "Over"), "oﬃce": (LIGATURE, "office"), "a b": (SPACE, "a b"), "c‌ut": (ZERO_WIDTH, "cut"),
         "résume": (MARK, "résume"), "Рropеrties": (MIXED, "Properties"), "счёт (Δ) λ": (0, "счёт (Δ) λ"), "supp­orts – “x”": (0, "supp­orts – “x”"), "": (0, ""), "Pythonで 2ª Mª": (0, "Pythonで 2ª Mª"),
+        "payցal": (MIXED, "paygal"), "pᎪypal": (MIXED, "pAypal"), "pay\u10ffal": (MIXED, "payoal"), "ⲣay": (MIXED, "pay"), "payЖ": (MIXED, "payЖ"), "\U0001d40fay": (0, "Pay"), "ｶﾞ": (MARK, "ガ"), "Խոռ": (0, "Խոռ"),
     }
     text, found = canonical(pa.array([*cases, None]))
     assert text.to_pylist() == [v[1] for v in cases.values()] + [None]

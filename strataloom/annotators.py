@@ -122,6 +122,29 @@ class PromptCache:
         return made
 
 
+class Reader(Protocol):
+    """Reads what a scanned file says, as Markdown; may raise."""
+
+    def read(self, content: bytes) -> str: ...
+
+
+def recognise(files: DataFrame, reader: Reader, key: str = "doc_id", content: str = "content") -> DataFrame:
+    """(key, text): the Markdown that a reader makes of scanned files; no text where it fails. Bytes stay in the task that reads them."""
+    schema = f"{key} {files.schema[key].dataType.simpleString()}, text string"
+
+    def one(data: bytes | None) -> str | None:
+        try:
+            return None if data is None else reader.read(bytes(data))
+        except Exception:  # any failure of a single file leaves it without text
+            return None
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            yield pd.DataFrame({key: pdf[key], "text": [one(c) for c in pdf[content]]})
+
+    return files.select(key, content).mapInPandas(run, schema)
+
+
 def classify(block: DataFrame, annotator: Annotator | None = None, cache: DataFrame | None = None) -> DataFrame:
     """(doc_id, topic_ix, title, topic_type, body_xml, shortdesc, keywords) of all topics of block rows.
 

@@ -190,3 +190,13 @@ def append_images(block: DataFrame, images: DataFrame) -> DataFrame:
 def number_images(images: DataFrame) -> DataFrame:
     """Images with ``seq``, counted from 1 through the document by page and place."""
     return numbered(images, "doc_id", "page", ["img_ix"], "seq").withColumn("seq", F.col("seq") + 1)
+
+
+#: Endings an extracted image keeps; others become .png.
+KNOWN_ENDINGS = (".png", ".jpg", ".jpeg", ".gif", ".tif", ".tiff", ".bmp")
+
+
+def name_images(images: DataFrame, original: str = "name") -> DataFrame:
+    """``number_images`` with ``filename``: image_ and the number, with the ending of the original name if it is a known one."""
+    ending = F.lower(F.regexp_extract(F.coalesce(original, F.lit("")), r"(\.[^./]+)$", 1))
+    return number_images(images).withColumn("filename", F.concat(F.lit("image_"), F.col("seq").cast("string"), F.when(ending.isin(*KNOWN_ENDINGS), ending).otherwise(".png")))

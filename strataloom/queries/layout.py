@@ -185,10 +185,17 @@ def j4_insert_tables(spark, sf):
     return L.insert_tables(b, t)
 
 
-@query("a5_number_images", "select doc_id, page, img_ix, row_number() over (partition by doc_id order by page, img_ix)::int as seq from (select distinct doc_id, page, pos as img_ix from block where type = 'image')")
+@query(
+    "a5_number_images",
+    """with i as (select distinct doc_id, page, pos as img_ix, 'x' || case pos % 4 when 0 then '.JPG' when 1 then '.gif' when 2 then '.webp' else '' end as name from block where type = 'image'),
+n as (select *, row_number() over (partition by doc_id order by page, img_ix)::int as seq from i)
+select doc_id, page, img_ix, name, seq, 'image_' || seq || case img_ix % 4 when 0 then '.jpg' when 1 then '.gif' else '.png' end as filename from n""",
+)
 def a5_number_images(spark, sf):
-    """Images counted through each document."""
-    return L.number_images(table(spark, sf, "block").where("type = 'image'").select("doc_id", "page", F.col("pos").alias("img_ix")).distinct())
+    """Images counted and named through each document; their endings are made up."""
+    ending = F.when(F.col("pos") % 4 == 0, ".JPG").when(F.col("pos") % 4 == 1, ".gif").when(F.col("pos") % 4 == 2, ".webp").otherwise("")
+    i = table(spark, sf, "block").where("type = 'image'").select("doc_id", "page", F.col("pos").alias("img_ix"), F.concat(F.lit("x"), ending).alias("name")).distinct()
+    return L.name_images(i)
 
 
 @query(

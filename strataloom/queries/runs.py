@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strataloom import annotators
-from strataloom.functions.text import slug
+from strataloom.functions.text import slug, version_numbers
 from strataloom.operators import emit as E
 from strataloom.operators import runs as R
 from strataloom.plans.tables import table
@@ -191,6 +191,23 @@ def f34_image_work(spark, sf):
     return R.image_work(i).select("doc_id", "pos", "name", F.coalesce("new_width", F.lit(0)).alias("new_width"), "recode", "new_name")
 
 
+@query(
+    "s8_newest_version",
+    """with p as (select distinct topic_type, '/opt/jdk-17.0.' || doc_id % 23 || '+' || topic_ix as path from out_file),
+v as (select *, list_transform(regexp_extract_all(path, '[0-9]+'), lambda n: n::bigint) as v from p) select topic_type, arg_max(path, v) as path from v group by topic_type""",
+)
+def s8_newest_version(spark, sf):
+    """The newest of several installed versions, by their numbers and not their spelling; made-up paths."""
+    p = table(spark, sf, "out_file").select("topic_type", F.format_string("/opt/jdk-17.0.%d+%d", F.col("doc_id") % 23, "topic_ix").alias("path")).distinct()
+    return p.groupBy("topic_type").agg(F.max_by("path", version_numbers(F.col("path"))).alias("path"))
+
+
+@query("b9_bundles", f"with {_FILES}, k as (select doc_id, topic_ix // 4 as volume, topic_ix, filename, xml from files) select doc_id, volume::int as volume, filename as name, arg_max(xml, topic_ix) as text from k group by doc_id, volume, filename")
+def b9_bundles(spark, sf):
+    """Topic files put into zip volumes of four topics, and read out of them again."""
+    return sinks.unbundle(sinks.bundles(files(spark, sf), volume_topics=4))
+
+
 @query("c20_search", "with o as (select distinct doc_id, filename from out_file) select d.doc_id from (select doc_id, max(title) as title from documents group by doc_id) d where contains(lower(coalesce(title, '')), 'ledger') or doc_id in (select doc_id from o where contains(lower(filename), 'ledger'))")
 def c20_search(spark, sf):
     """C20: documents whose title or any file name holds a word."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strataloom import annotators
 from strataloom.functions import text as T
 from strataloom.operators import emit as E
 from strataloom.operators import sections as S
@@ -41,6 +42,23 @@ def a7_markdown_blocks(spark: SparkSession, sf: str) -> DataFrame:
     return M.markdown_blocks(M.markdown_lines(table(spark, sf, "documents")))
 
 
+class _PlainReader:
+    """Stands for a recogniser: the bytes are the text, and some cannot be read."""
+
+    def read(self, content: bytes) -> str:
+        text = content.decode("utf-8")
+        if len(text) % 10 == 0:
+            raise ValueError("unreadable")
+        return text
+
+
+@query("a6_recognised_blocks", f"with md as (select doc_id, unnest(l) as line, unnest(range(len(l))) as o from (select doc_id, regexp_split_to_array(text, {_LINE_ENDS}) as l from documents where text is not null and doc_kind = 'pdf_scan' and length(text) % 10 <> 0)), {_MD}")
+def a6_recognised_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """Scanned files through a recogniser (a stand-in here) to blocks; what it cannot read has none."""
+    scans = table(spark, sf, "documents").where("doc_kind = 'pdf_scan' and text is not null").select("doc_id", F.encode("text", "utf-8").alias("content"))
+    return M.markdown_blocks(M.markdown_lines(annotators.recognise(scans, _PlainReader())))
+
+
 _RENDER = f"""
 r0 as (select doc_id, pos, case when text is null then ['']
   when type = 'heading' then [repeat('#', greatest(1, least(6, coalesce(level, 1)))) || ' ' || f, '']

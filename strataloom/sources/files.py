@@ -39,6 +39,14 @@ def discover(spark: SparkSession, folder: str, ending: str = ".pdf") -> DataFram
     return files.where(F.endswith(F.lower("path"), F.lit(ending))).select("path", "length", "modificationTime")
 
 
+def sample(spark: SparkSession, folder: str, ending: str = ".pdf") -> DataFrame:
+    """(path, content) of the first file by name under ``folder``: what is converted where nothing was handed in."""
+    first = discover(spark, folder, ending).agg(F.min("path").alias("path")).first()["path"]
+    if first is None:
+        raise FileNotFoundError(f"no {ending} file under {folder}")
+    return spark.read.format("binaryFile").load(first).select("path", "content")
+
+
 def decode(spark: SparkSession, folder: str, decoder: Decoder | None, what: str = "words", ending: str = ".pdf") -> DataFrame:
     """Rows of all files by a decoder; bytes go from the scan to the decoder within one task."""
     if decoder is None:

@@ -1,7 +1,13 @@
-"""Sinks: topic files, maps, caches and reports."""
+"""Sinks: topic files, maps, caches, bundles and reports."""
 
 from __future__ import annotations
 
+import io
+import zipfile
+from collections.abc import Iterator
+
+import pandas as pd
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,3 +61,41 @@ def batch_report(runs: DataFrame) -> DataFrame:
 def write_batch_report(runs: DataFrame, folder: str) -> None:
     """The lines of ``batch_report`` as text files of JSON lines."""
     batch_report(runs).select("json").write.mode("overwrite").text(folder)
+
+
+#: Topics of one volume of a bundle, which bounds what one task puts together.
+VOLUME_TOPICS = 1_000
+_EPOCH = (1980, 1, 1, 0, 0, 0)
+
+
+def bundles(files: DataFrame, name: str = "filename", text: str = "xml", volume_topics: int = VOLUME_TOPICS) -> DataFrame:
+    """(doc_id, volume, content): zip files of the topic files of each document, names in order, so many topics each.
+
+    The bytes depend on names and texts only. Of rows with one name in a volume, the last by topic_ix is kept; null texts are empty.
+    """
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        last = {r.name: r.text for r in pdf.sort_values("topic_ix").itertuples(index=False)}
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for n in sorted(last):
+                z.writestr(zipfile.ZipInfo(n, _EPOCH), last[n] or "")
+        return pd.DataFrame({"doc_id": [pdf["doc_id"].iloc[0]], "volume": [pdf["volume"].iloc[0]], "content": [out.getvalue()]})
+
+    volume = F.floor(F.col("topic_ix") / volume_topics).cast("int")
+    rows = files.select("doc_id", volume.alias("volume"), "topic_ix", F.col(name).alias("name"), F.col(text).alias("text"))
+    return rows.groupBy("doc_id", "volume").applyInPandas(pack, "doc_id bigint, volume int, content binary")
+
+
+def unbundle(packed: DataFrame) -> DataFrame:
+    """(doc_id, volume, name, text) of the files in bundles."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            rows = []
+            for doc_id, volume, content in pdf.itertuples(index=False):
+                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    rows += [(doc_id, volume, n, z.read(n).decode("utf-8")) for n in z.namelist()]
+            yield pd.DataFrame(rows, columns=["doc_id", "volume", "name", "text"])
+
+    return packed.select("doc_id", "volume", "content").mapInPandas(run, "doc_id bigint, volume int, name string, text string")

@@ -12,6 +12,7 @@ import __spark_entry__ as entry
 from strataloom import annotators as A
 from strataloom.queries import core
 from strataloom.sources import files, sinks
+from strataloom.sources.settings import read_settings
 from strataloom.streaming import progress as P
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers cannot import the tests
@@ -140,6 +141,32 @@ def test_uploads_as_a_stream(spark, tmp_path):
     assert len(got) == 1 and re.fullmatch(r"[0-9a-f]{8}_One.PDF", got[0]["name"]) and bytes(got[0]["content"]) == b"1"
 
 
+def test_settings_sample_and_recogniser(spark, tmp_path):
+    env = {"A": "kept"}
+    assert read_settings("# no\n\nA=new\nB = x=y \n=z\nplain\n  #C=1\nD=", env) == ["B", "D"] and env == {"A": "kept", "B": "x=y", "D": ""}
+    with pytest.raises(FileNotFoundError):
+        (tmp_path / "none").mkdir()
+        (tmp_path / "none/x.txt").write_bytes(b"")
+        files.sample(spark, str(tmp_path / "none"))
+    (tmp_path / "b.pdf").write_bytes(b"2")
+    (tmp_path / "a.pdf").write_bytes(b"1")
+    assert bytes(files.sample(spark, str(tmp_path)).first()["content"]) == b"1"
+
+    class Fails:
+        def read(self, content):
+            return {b"ok": "# T"}[content]
+
+    scans = spark.createDataFrame([(1, b"ok"), (2, b"bad"), (3, None)], "doc_id bigint, content binary")
+    assert {r["doc_id"]: r["text"] for r in A.recognise(scans, Fails()).collect()} == {1: "# T", 2: None, 3: None}
+
+
+def test_bundles(spark):
+    rows = spark.createDataFrame([(1, 0, "b.dita", "<b/>"), (1, 1, "a.dita", None), (1, 1, "b.dita", "<new/>"), (1, 2, "c.dita", "é")], "doc_id bigint, topic_ix int, filename string, xml string")
+    packed = sinks.bundles(rows, volume_topics=2)
+    assert sorted(tuple(r) for r in sinks.unbundle(packed).collect()) == [(1, 0, "a.dita", ""), (1, 0, "b.dita", "<new/>"), (1, 1, "c.dita", "é")]
+    assert {r["content"] for r in packed.collect()} == {r["content"] for r in sinks.bundles(rows, volume_topics=2).collect()}
+
+
 def test_prompt_cache():
     now, made = [0.0], []
     cache = A.PromptCache(lambda model, system: made.append((model, system)) or (f"n{len(made)}" if system != "bad" else None), seconds=100, margin=10, clock=lambda: now[0])

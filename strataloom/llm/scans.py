@@ -71,10 +71,11 @@ class Heads:
     def __init__(self, titles: list[str]):
         self.skeletons = {skeleton(t) for t in titles if t} - {""}
         self.longest = max(map(len, self.skeletons), default=0)
-        self.titles = sorted({t.lower().strip() for t in titles if t and t.strip()}, key=lambda t: (-len(t), t))
+        said = [t.strip() for t in titles if t and t.strip()]
+        self.titles = sorted({x.lower() for t in said for x in (t, t.upper())}, key=lambda t: (-len(t), t))
 
     def __contains__(self, line: str) -> bool:
-        letters = "".join(_TOKEN.findall(line.lower()))
+        letters = "".join(_TOKEN.findall(line.casefold()))
         return 0 < len(letters) <= self.longest and morph(letters) in self.skeletons  # a skeleton is never shorter than its letters
 
 
@@ -146,20 +147,20 @@ def inline(text: str, heads: Heads) -> tuple[str, set[str]]:
     return text, kinds
 
 
-def questions(text: str, gone: str, common: frozenset[str]) -> list[tuple[str, str | None, str | None, bool]]:
-    """(key, left, right, last) of the words of a block that are not common ones, and of what divided words may be.
+def questions(text: str, gone: str, common: frozenset[str]) -> list[tuple[str, str | None, str | None]]:
+    """(key, left, right) of the words of a block that are not common ones, and of what divided words may be.
 
-    ``left`` and ``right`` are the neighbouring words in lower case; ``last`` tells that no word follows.
+    ``left`` and ``right`` are the neighbouring words in lower case.
     """
     asks: dict[tuple, None] = {}
 
-    def ask(word: str, left: str | None = None, right: str | None = None, last: bool = False) -> None:
+    def ask(word: str, left: str | None = None, right: str | None = None) -> None:
         if askable(word) and word.lower() not in common:
-            asks[fold_case(word), left, right, last] = None
+            asks[fold_case(word), left, right] = None
 
     words = _TOKEN.findall(text)
     for i, w in enumerate(words):
-        ask(w, words[i - 1].lower() if i else None, words[i + 1].lower() if i + 1 < len(words) else None, i + 1 == len(words))
+        ask(w, words[i - 1].lower() if i else None, words[i + 1].lower() if i + 1 < len(words) else None)
     for m in _SPLIT.finditer(text):
         for w in (m[1] + m[4], m[1], m[4]):
             ask(w)
@@ -327,7 +328,7 @@ def _key(word: pd.Series) -> pd.Series:
     return word.map(lambda w: fold_case(w) if askable(w) else None, na_action="ignore")
 
 
-READ = "doc_id bigint, pos int, type string, page int, kinds array<string>, text string, gone string, open boolean, plain boolean, pure boolean, asks array<struct<key: string, left: string, right: string, last: boolean>>, end string, mark string, start string, tail string"
+READ = "doc_id bigint, pos int, type string, page int, kinds array<string>, text string, gone string, open boolean, plain boolean, pure boolean, asks array<struct<key: string, left: string, right: string>>, end string, mark string, start string, tail string"
 
 
 def read_blocks(rows: DataFrame, common: frozenset[str]) -> DataFrame:
@@ -341,7 +342,7 @@ def read_blocks(rows: DataFrame, common: frozenset[str]) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "pos", "type", "page", "kinds", "text", "gone", "open", "plain", "pure", "asks", "end", "mark", "start", "tail"]
-        ask = pa.struct([("key", pa.string()), ("left", pa.string()), ("right", pa.string()), ("last", pa.bool_())])
+        ask = pa.struct([("key", pa.string()), ("left", pa.string()), ("right", pa.string())])
         kinds_of = [pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.list_(pa.string()), pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.bool_(), pa.list_(ask), *[pa.string()] * 4]
         last = None
         for batch in batches:
@@ -367,7 +368,7 @@ def read_blocks(rows: DataFrame, common: frozenset[str]) -> DataFrame:
                 unsure = bool(asks or end or (not pure and _SPLIT.search(left)))
                 out.append((
                     doc, pos, kind, page, sorted(kinds), None if pure else left if unsure else reflow(left), gone if asks else "", unsure, not pure, pure,
-                    [dict(zip(("key", "left", "right", "last"), a, strict=True)) for a in asks],
+                    [dict(zip(("key", "left", "right"), a, strict=True)) for a in asks],
                     end and end[1], end and end[2], start and start[1], start and _TAIL.match(left)[0].strip(),
                 ))
             cols_out = list(zip(*out, strict=True)) if out else [[]] * len(names)
@@ -396,11 +397,12 @@ def look_up(asks: DataFrame, known: DataFrame, texts: tuple[DataFrame, ...], hot
 
     Unknown words meet the known ones in reach (``near_words``); of those with fewest plain edits and then fewest confusions,
     the one stands for it that its neighbours in the block have beside them most often in the clean texts, then the
-    more frequent one, then the first in spelling. Plain edits count only where the neighbours speak for them.
+    more frequent one, then the first in spelling. Plain edits count only where the neighbours speak for them, and not for the
+    beginning of a longer known word, which may have been cut off.
     """
-    keys = cut(asks.groupBy("key").agg(F.max("last").alias("last"), F.count("*").alias("n_asks")))
+    keys = cut(asks.groupBy("key").agg(F.count("*").alias("n_asks")))
     here = keys.withColumn("word", F.translate("key", "I", "l")).join(known.select("word", F.lit(True).alias("known")), "word", "left")
-    unknown = here.where("known is null").select("key", "last")
+    unknown = here.where("known is null").select("key")
     found = near_words(unknown, known)
     named = found.where("word is not null").select("key", F.struct("edits", "confused", F.col("word").alias("w"), "n").alias("c"))
     told = named.unionByName(found.where("continues").select("key"), allowMissingColumns=True)
@@ -420,7 +422,7 @@ def look_up(asks: DataFrame, known: DataFrame, texts: tuple[DataFrame, ...], hot
     wanted = rows.where("placed").drop("placed").groupBy("pair").agg(F.count("*").alias("rows")).join(near, "pair")
     support = count_join(rows.where("placed").drop("placed"), wanted, "pair", "rows", F.struct("doc_id", "pos"), hot_rows)
     support = rows.select("doc_id", "pos", "key", "continues", "c", F.lit(0).cast("bigint").alias("n")).unionByName(support.select("doc_id", "pos", "key", "continues", "c", "n"))
-    each = support.groupBy("doc_id", "pos", "key", "continues", "c").agg(F.sum("n").alias("near")).where("c.edits = 0 or near > 0")
+    each = support.groupBy("doc_id", "pos", "key", "continues", "c").agg(F.sum("n").alias("near")).where("c.edits = 0 or (near > 0 and not continues)")
     best = each.groupBy("doc_id", "pos", "key", "continues").agg(F.min(F.struct((-F.col("near")).alias("a"), (-F.col("c.n")).alias("b"), F.col("c.w").alias("w"))).alias("m"))
     return plain.unionByName(best.select("doc_id", "pos", "key", F.lit(False).alias("known"), F.col("m.w").alias("fix"), "continues"))
 
@@ -492,7 +494,7 @@ def repaired_scans(block: DataFrame, docs: DataFrame, scan_kind: str = "pdf_scan
     halves = F.array("end", *(F.concat("end", c) for c in ("next.start", "other")), "next.start", "other")
     ends = pairs.select("doc_id", F.explode(F.array("pos", "next.pos")).alias("pos"), halves.alias("w")).select("doc_id", "pos", F.explode("w").alias("w"))
     rare = ends.select("doc_id", "pos", _key("w").alias("key")).where("key is not null")
-    asks = own.unionByName(rare.select("doc_id", "pos", "key", F.lit(None).cast("string").alias("left"), F.lit(None).cast("string").alias("right"), F.lit(False).alias("last")))
+    asks = own.unionByName(rare.select("doc_id", "pos", "key", F.lit(None).cast("string").alias("left"), F.lit(None).cast("string").alias("right")))
     told = look_up(asks, known, texts, hot_rows).groupBy("doc_id", "pos").agg(F.collect_list(F.struct("key", "known", "fix", "continues")).alias("answers"))  # words of one block
     after = borders.select("doc_id", "pos", F.array("near", "far").alias("after"))
     before = pairs.select("doc_id", F.col("next.pos").alias("pos"), F.struct("end", "mark", "other").alias("b")).groupBy("doc_id", "pos").agg(F.collect_list("b").alias("before"))  # two at most

@@ -36,8 +36,8 @@ def morph(letters: str) -> str:
 
 
 def skeleton(text: str) -> str:
-    """Letters and digits of ``text`` with all that readers confuse made equal: confusions do not change it."""
-    return morph("".join(_TOKEN.findall(text.lower())))
+    """Letters and digits of ``text`` with all that readers confuse made equal: confusions and capitals (of ß too) do not change it."""
+    return morph("".join(_TOKEN.findall(text.casefold())))
 
 
 def fold_case(word: str) -> str:
@@ -162,19 +162,19 @@ FOUND = "key string, word string, n bigint, confused int, edits int, continues b
 def near_words(unknown: DataFrame, known: DataFrame, trie_words: int = TRIE_WORDS, asked_words: int = ASKED_WORDS) -> DataFrame:
     """(key, word, n, confused, edits, continues): all known words in reach of each unknown one.
 
-    ``unknown`` is (key, last), distinct; ``known`` is (word, n), words distinct. Rows without a word tell of a key with ``last`` that a
-    longer known word begins with it. A word found along several routes comes out several times.
+    ``unknown`` is (key), distinct; ``known`` is (word, n), words distinct. Rows without a word tell of a key that a longer known
+    word begins with it. A word found along several routes comes out several times.
 
     Known words are kept in parts by two characters of their skeleton (see ``homes``), and each unknown word visits the
     few parts that can hold a word in reach. Parts with more than ``trie_words`` words become several tries, and parts asked
     for more than ``asked_words`` words are walked by several tasks, so no task depends on the size of a part.
     """
     k = known.select(F.explode(_homes("word")).alias("part"), "word", "n")
-    u = unknown.select(F.explode(_routes("key")).alias("part"), "key", "last")
+    u = unknown.select(F.explode(_routes("key")).alias("part"), "key")
     size = k.groupBy("part").agg(F.count("*").alias("n")).join(u.groupBy("part").agg(F.count("*").alias("m")), "part")
     size = size.select("part", F.ceil(F.col("n") / trie_words).cast("int").alias("tries"), F.ceil(F.col("m") / asked_words).cast("int").alias("tasks"))
-    a = k.join(size, "part").select("part", F.pmod(F.hash("word"), "tries").alias("trie"), F.explode(F.sequence(F.lit(1), "tasks")).alias("task"), F.lit(0).alias("tag"), "word", F.lit(False).alias("last"), "n")
-    b = u.join(size, "part").select("part", F.explode(F.sequence(F.lit(0), F.col("tries") - 1)).alias("trie"), (F.pmod(F.hash("key"), "tasks") + 1).alias("task"), F.lit(1).alias("tag"), F.col("key").alias("word"), "last", F.lit(0).cast("bigint").alias("n"))
+    a = k.join(size, "part").select("part", F.pmod(F.hash("word"), "tries").alias("trie"), F.explode(F.sequence(F.lit(1), "tasks")).alias("task"), F.lit(0).alias("tag"), "word", "n")
+    b = u.join(size, "part").select("part", F.explode(F.sequence(F.lit(0), F.col("tries") - 1)).alias("trie"), (F.pmod(F.hash("key"), "tasks") + 1).alias("task"), F.lit(1).alias("tag"), F.col("key").alias("word"), F.lit(0).cast("bigint").alias("n"))
     parts = max(1, int(known.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = a.unionAll(b).repartition(parts, "part", "trie", "task").sortWithinPartitions("part", "trie", "task", "tag", "word")
 
@@ -182,8 +182,8 @@ def near_words(unknown: DataFrame, known: DataFrame, trie_words: int = TRIE_WORD
         here, words, trie = None, {}, None
         for batch in batches:
             out: list[tuple] = []
-            cols = (batch.column(i).to_pylist() for i in range(7))
-            for part, number, task, tag, word, last, n in zip(*cols, strict=True):
+            cols = (batch.column(i).to_pylist() for i in range(6))
+            for part, number, task, tag, word, n in zip(*cols, strict=True):
                 if (part, number, task) != here:
                     here, words, trie = (part, number, task), {}, None
                 if tag == 0:
@@ -192,9 +192,9 @@ def near_words(unknown: DataFrame, known: DataFrame, trie_words: int = TRIE_WORD
                 if trie is None:
                     trie = Vocabulary(words)
                 out += [(word, w, words[w], c, e, False) for w, c, e in trie.candidates(word, CONFUSED, plain_edits(word))]
-                if last and part[0] == "<" and trie.continues(word.lower().replace("I", "l")):
+                if part[0] == "<" and trie.continues(word.lower().replace("I", "l")):
                     out.append((word, None, None, None, None, True))
             kinds = [pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=[x.split()[0] for x in FOUND.split(", ")])
 
-    return rows.select("part", "trie", "task", "tag", "word", "last", "n").mapInArrow(walk, FOUND)
+    return rows.select("part", "trie", "task", "tag", "word", "n").mapInArrow(walk, FOUND)

@@ -218,7 +218,7 @@ def test_near_words_against_one_trie(spark, tries, tasks):
     known = sorted({"".join(rnd.choice("acdelmnortu") for _ in range(rnd.randint(2, 15))) for _ in range(60)} | set(_KNOWN))
     keys = {"statemnt", "staternent", "acount", "tcomrnand", "rnisunderstandlng", "comunicatlon", "rnode", "zzz", "acc", "counterpartes"}
     keys |= {w[:i] + w[i + 1 :] for w in known for i in (0, len(w) // 2, len(w) - 1)} - {"", *known}
-    got = trie.near_words(spark.createDataFrame([(k, True) for k in sorted(keys)], "key string, last boolean"), spark.createDataFrame([(w, 5) for w in known], "word string, n bigint"), tries, tasks).collect()
+    got = trie.near_words(spark.createDataFrame([(k,) for k in sorted(keys)], "key string"), spark.createDataFrame([(w, 5) for w in known], "word string, n bigint"), tries, tasks).collect()
     whole = trie.Vocabulary(known)
     want = {(k, w, c, e) for k in keys for w, c, e in whole.candidates(k, edits=trie.plain_edits(k))}
     assert {(r["key"], r["word"], r["confused"], r["edits"]) for r in got if r["word"]} == want
@@ -226,6 +226,14 @@ def test_near_words_against_one_trie(spark, tries, tasks):
     assert ("statemnt", "statement", 0, 1) in want and ("rnode", "mode", 1, 0) in want and ("tcomrnand", "command", 1, 1) in want
 
 
+def test_heads_in_capitals_and_words_cut_off(spark):
+    docs = spark.createDataFrame([(i, "the monthly statement of the account", "en", "s", None, None, None) for i in range(100, 104)] + [(1, None, "en", "s", "Größe der Maße", "pdf_scan", None)], DOCS)
+    block = spark.createDataFrame([(1, 0, "paragraph", "GRÖSSE DER MASSE", 1, 0), (1, 1, "paragraph", "monthly GRÖSSE DER MASSE 7 statement of", 1, 0), (1, 2, "paragraph", "the monthly statemen. (type A)", 1, 0), (1, 3, "paragraph", "the monthly statememt. (type A)", 1, 0)], BLOCK)
+    got = {r["pos"]: (r["kinds"], r["text"]) for r in scans.repaired_scans(block, docs).collect()}
+    assert got[0] == (["running_head"], None) and got[1] == (["page_number", "running_head"], "monthly statement of")
+    assert got[2] == ([], "the monthly statemen. (type A)") and got[3] == (["misread"], "the monthly statement. (type A)")
+
+
 def test_plain_edits_count_where_the_neighbours_speak_for_them(spark):
     docs = spark.createDataFrame([(i, "the monthly statement of the account", "en", "s", None, None, None) for i in range(100, 104)] + [(1, None, "en", "s", "A title here", "pdf_scan", None)], DOCS)
     block = spark.createDataFrame([(1, 0, "paragraph", "the monthly statemnt of", 1, 0), (1, 1, "paragraph", "Mr Statemnt left", 1, 0), (1, 2, "paragraph", "monthly staternent", 1, 0), (1, 3, "paragraph", "the acount", 1, 0), (1, 4, "paragraph", "monthly statemnt5", 1, 0)], BLOCK)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from strataloom.plans.checkpoints import cut
 
-#: Public byte-level BPE vocabulary used where no other path is given.
+#: Public byte-level BPE vocabulary used where neither a path nor the setting spark.strataloom.tokenizer is given.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Pieces packed together by one task.
 GROUP_ITEMS = 50_000
@@ -31,6 +32,8 @@ def tokenizer(path: str):
     import tiktoken
     from public_tokenizers import PATTERN
 
+    if not os.path.exists(path):
+        raise FileNotFoundError(f"no rank file of a public tokenizer at {path}; name one that every executor can read")
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -85,9 +88,13 @@ def sized_pieces(docs: DataFrame, capacity: int, path: str = TOKENIZER, doc_id:
 
 def lower_bound(sizes: np.ndarray, capacity: int) -> int:
     """Containers that any packing needs: the best of the bounds that dual feasible functions give."""
-    if not len(sizes):
+    return bound_of_counts(*np.unique(sizes.astype(np.int64), return_counts=True), capacity)
+
+
+def bound_of_counts(x: np.ndarray, n: np.ndarray, capacity: int) -> int:
+    """The bound for ``n`` pieces of each of the sizes ``x``, which are distinct and in order."""
+    if not len(x):
         return 0
-    x, n = np.unique(sizes.astype(np.int64), return_counts=True)
     best = -(-int((x * n).sum()) // capacity)
     for k in range(1, 21):  # rounds sizes down to multiples of 1/k, exact multiples of 1/(k+1) kept
         m, rest = np.divmod((k + 1) * x, capacity)
@@ -177,13 +184,25 @@ def pack_documents(docs: DataFrame, capacity: int, path: str = TOKENIZER, doc_id
 
 
 def packing_report(packed: DataFrame, capacity: int) -> DataFrame:
-    """Containers used, the least any packing of these pieces needs, and the share of room left unused."""
-    boxes = packed.where("container_id is not null").groupBy("container_id").agg(F.sum("n_tokens").alias("used"), F.count("*").alias("pieces"))
-    return boxes.agg(
+    """Containers used, the least any packing of these pieces needs (by tokens alone, and certified), and the share of room left unused.
+
+    The certified bound is that of ``lower_bound`` over all pieces, worked out from their counts per size, at most ``capacity`` rows.
+    """
+
+    def bound(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        got = pd.concat([pd.DataFrame({"n_tokens": [], "n": []}), *frames]).astype("int64").sort_values("n_tokens")
+        yield pd.DataFrame({"certified_containers": [bound_of_counts(got["n_tokens"].to_numpy(), got["n"].to_numpy(), capacity)]})
+
+    placed = packed.where("container_id is not null")
+    sizes = placed.groupBy("n_tokens").agg(F.count("*").alias("n"))
+    boxes = placed.groupBy("container_id").agg(F.sum("n_tokens").alias("used"), F.count("*").alias("pieces"))
+    out = boxes.agg(
         F.count("*").alias("n_containers"), F.coalesce(F.sum("pieces"), F.lit(0)).cast("bigint").alias("n_pieces"), F.coalesce(F.sum("used"), F.lit(0)).cast("bigint").alias("n_tokens"),
         F.ceil(F.coalesce(F.sum("used"), F.lit(0)) / F.lit(capacity)).cast("bigint").alias("least_containers"),
         F.max("used").cast("bigint").alias("fullest"), F.round(1 - F.sum("used") / (F.count("*") * F.lit(capacity)), 6).alias("unused_share"),
     )
+    certified = sizes.repartition(1).mapInPandas(bound, "certified bigint")
+    return out.join(F.broadcast(certified), F.lit(True), "left").select("*", F.coalesce("certified", F.lit(0)).alias("certified_containers")).drop("certified")  # one row each
 
 
 def container_capacity(limits: DataFrame) -> int:

@@ -72,20 +72,22 @@ def p6_texts(spark: SparkSession, sf: str) -> DataFrame:
     return canonical.canonical_texts(texts).select("field", "doc_id", "ix", "text")
 
 
-def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+def _packed(spark: SparkSession, sf: str) -> tuple[DataFrame, int]:
     capacity = packing.container_capacity(table(spark, sf, "size_limit"))
-    return packing.pack_documents(table(spark, sf, "documents"), capacity).where("n_pieces > 1").select("doc_id").distinct()
+    return packing.pack_documents(table(spark, sf, "documents"), capacity, spark.conf.get("spark.strataloom.tokenizer", packing.TOKENIZER)), capacity
+
+
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _packed(spark, sf)[0].where("n_pieces > 1").select("doc_id").distinct()
 
 
 def p7_packing(spark: SparkSession, sf: str) -> DataFrame:
     """The container of every document or piece of one."""
-    capacity = packing.container_capacity(table(spark, sf, "size_limit"))
-    return packing.pack_documents(table(spark, sf, "documents"), capacity).select("container_id", "doc_id", "piece_ix", "n_pieces", "n_tokens", "char_start", "char_end")
+    return _packed(spark, sf)[0].select("container_id", "doc_id", "piece_ix", "n_pieces", "n_tokens", "char_start", "char_end")
 
 
 def p7_report(spark: SparkSession, sf: str) -> DataFrame:
-    capacity = packing.container_capacity(table(spark, sf, "size_limit"))
-    return packing.packing_report(packing.pack_documents(table(spark, sf, "documents"), capacity), capacity)
+    return packing.packing_report(*_packed(spark, sf))
 
 
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:

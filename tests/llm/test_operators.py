@@ -425,7 +425,11 @@ def test_groups_exchange_pieces(spark, monkeypatch):
     sizes = np.array([r["n_tokens"] for r in got.collect()])
     alone = packing.best_fit(sizes, 64)[1]
     assert len(sizes) == 120 and report["fullest"] <= 64
-    assert packing.lower_bound(sizes, 64) <= report["n_containers"] <= alone + 3
+    assert packing.lower_bound(sizes, 64) == report["certified_containers"] <= report["n_containers"] <= alone + 3
+    empty = packing.packing_report(packing.pack_documents(docs.limit(0), 64), 64).collect()
+    assert len(empty) == 1 and empty[0]["n_containers"] == empty[0]["certified_containers"] == 0
+    with pytest.raises(FileNotFoundError):
+        packing.tokenizer("/nowhere.tiktoken")
 
 
 # -- 8 leaks

@@ -191,7 +191,7 @@ def packing_report(packed: DataFrame, capacity: int) -> DataFrame:
 
     def bound(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         got = pd.concat([pd.DataFrame({"n_tokens": [], "n": []}), *frames]).astype("int64").sort_values("n_tokens")
-        yield pd.DataFrame({"certified_containers": [bound_of_counts(got["n_tokens"].to_numpy(), got["n"].to_numpy(), capacity)]})
+        yield pd.DataFrame({"certified": [bound_of_counts(got["n_tokens"].to_numpy(), got["n"].to_numpy(), capacity)]})
 
     placed = packed.where("container_id is not null")
     sizes = placed.groupBy("n_tokens").agg(F.count("*").alias("n"))

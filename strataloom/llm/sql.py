@@ -82,9 +82,17 @@ ig as (select item_id, q, concat_ws(' ', w, lead(w, 1) over n, lead(w, 2) over n
 lines as (select distinct doc_id, item_id, p - q as shift from dg join ig using (g)),
 same as (select doc_id, item_id, shift, q, (d.w = i.w)::int as s from lines join i using (item_id) join d using (doc_id) where d.p = i.q + shift),
 spans as (select *, sum(s) over f as n, count(*) over f as m, last_value(s) over f as l from same window f as (partition by doc_id, item_id, shift order by q rows between current row and 19 following))
-select distinct doc_id, item_id from spans where m = 20 and n >= 18 and s = 1 and l = 1
-"""
+@"""
+_GOOD = "from spans where m = 20 and n >= 18 and s = 1 and l = 1"
+P8_ITEMS = (
+    P8_FOUND[:-2]
+    + f""",
+runs as (select doc_id, item_id, shift, count(*) + 19 as n from (select *, q - row_number() over (partition by doc_id, item_id, shift order by q) as run {_GOOD}) group by doc_id, item_id, shift, run),
+per as (select item_id, count(distinct doc_id) as n_docs, max(n) as longest from runs group by item_id)
+select distinct item_id, suite, coalesce(n_docs, 0)::bigint as n_docs, coalesce(longest, 0)::bigint as longest from eval_item left join per using (item_id)"""
+)
+P8_FOUND = P8_FOUND[:-2] + "select distinct doc_id, item_id " + _GOOD
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND, "p1_scores": P1_SCORES, "p2_found": P2_FOUND, "p2_lines": P2_LINES, "p2_clean": P2_CLEAN, "p5_found": P5_FOUND, "p6_found": P6_FOUND, "p8_found": P8_FOUND}
+    return {"p1_found": P1_FOUND, "p1_scores": P1_SCORES, "p2_found": P2_FOUND, "p2_lines": P2_LINES, "p2_clean": P2_CLEAN, "p5_found": P5_FOUND, "p6_found": P6_FOUND, "p8_found": P8_FOUND, "p8_items": P8_ITEMS}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strataloom.functions.text import html_escape, map_filename, normal_keywords, stable_id, strip, strip_number, topic_filename, xml_escape
 
-# Document types, roots and the order of elements.
+# Document types, roots and the order of elements; so are the class attributes written with the elements below.
 DOCTYPES = {t: f'<!DOCTYPE {t} PUBLIC "-//OASIS//DTD DITA {t.title()}//EN" "{t}.dtd">' for t in ("concept", "task", "reference")}
 ROOT_CLASSES = {"concept": "- topic/topic concept/concept ", "task": "- topic/topic task/task ", "reference": "- topic/topic       reference/reference "}
 TASKBODY_ORDER = ("prereq", "context", "steps", "steps-unordered", "result", "tasktroubleshooting", "example", "postreq")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataloom.functions.text import html_escape, map_filename, normal_keywords, stable_id, strip, strip_number, topic_filename, xml_escape
+from strataloom.functions.text import html_escape, inner_path, map_filename, normal_keywords, stable_id, strip, strip_number, topic_filename, xml_escape
 
 # Document types, roots and the order of elements; so are the class attributes written with the elements below.
 DOCTYPES = {t: f'<!DOCTYPE {t} PUBLIC "-//OASIS//DTD DITA {t.title()}//EN" "{t}.dtd">' for t in ("concept", "task", "reference")}
@@ -224,6 +224,14 @@ def write_references(files: DataFrame, stored: DataFrame | None = None) -> DataF
     return x.select(*(F.when(F.col("_targets").isNull(), F.col("xml")).otherwise(mended).alias("xml") if c == "xml" else c for c in files.columns))
 
 
+def find_files(asked: DataFrame, files: DataFrame) -> DataFrame:
+    """Requests (doc_id, path) with ``filename`` and ``status``: 200 for a file of the document, 404 for none, 403 for a way out of its folder."""
+    inner = inner_path(F.col("path"))
+    have = files.select(F.col("doc_id").alias("_d"), F.col("filename").alias("_f")).distinct()
+    j = asked.withColumn("_p", inner).join(have, (F.col("doc_id") == F.col("_d")) & (F.col("_p") == F.col("_f")), "left")
+    return j.select(*asked.columns, F.col("_f").alias("filename"), F.when(F.col("_p").isNull(), 403).when(F.col("_f").isNull(), 404).otherwise(200).alias("status"))
+
+
 def child_order(tags: Column, order: tuple[str, ...], last: bool = False) -> Column:
     """Child elements (array of structs with ``tag`` and ``ix``) in a stable order by tag.
 

@@ -201,6 +201,31 @@ def _hoist(parent: ET.Element) -> None:
     parent[:] = out
 
 
+def _indent(elem: ET.Element, depth: int) -> None:
+    """Children on lines of their own, where an element holds nothing but elements."""
+    if len(elem) and not any(_said(t) for t in (elem.text, *(c.tail for c in elem))):
+        elem.text = "\n" + "  " * (depth + 1)
+        for c in elem:
+            c.tail = elem.text
+            _indent(c, depth + 1)
+        elem[-1].tail = "\n" + "  " * depth
+
+
+def pretty(xml: str | None) -> str | None:
+    """Well-formed markup with its elements indented, no text changed; other markup as it is."""
+    if xml is None or not is_well_formed(f"<_root>{xml}</_root>"):
+        return xml
+    root = read(xml)
+    for c in root:
+        _indent(c, 0)
+    return write(root)
+
+
+@F.pandas_udf(StringType())
+def pretty_print(xml: pd.Series) -> pd.Series:
+    return xml.map(pretty, na_action="ignore")
+
+
 def fix_body(body: str | None) -> str | None:
     """A body that keeps to the content model; unchanged text if nothing had to be done."""
     if body is None:

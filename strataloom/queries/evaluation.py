@@ -257,6 +257,18 @@ def x2_content_rules(spark, sf):
     return fixed.withColumn("valid", X.well_formed(F.col("body_xml")))
 
 
+_PRETTY = """'<conbody>' || chr(10) || '  <p>' || t || '<b/><i>x</i></p>' || chr(10) || case when topic_ix % 2 = 0 then '  <section>' || chr(10) || '    <p>' || t || '</p>' || chr(10) || '  </section>' else '  <note/>' end || chr(10) || '</conbody>'"""
+
+
+@query("x10_pretty_print", f"with tt as (select distinct doc_id, topic_ix, {esc_sql("'A ' || coalesce(title, '')")} as t from topic) select doc_id, topic_ix, case topic_ix % 3 when 2 then '<conbody><p>' || t else {_PRETTY} end as xml from tt")
+def x10_pretty_print(spark, sf):
+    """Markup indented where elements hold nothing but elements; broken markup stays."""
+    t = T.html_escape(F.concat(F.lit("A "), F.coalesce("title", F.lit(""))))
+    tail = F.when(F.col("topic_ix") % 2 == 0, F.concat(F.lit("<section> <p>"), t, F.lit("</p></section>"))).otherwise("<note></note>")
+    xml = F.when(F.col("topic_ix") % 3 == 2, F.concat(F.lit("<conbody><p>"), t)).otherwise(F.concat(F.lit("<conbody>\n<p>"), t, F.lit("<b/><i>x</i></p>"), tail, F.lit("</conbody>")))
+    return table(spark, sf, "topic").select("doc_id", "topic_ix", xml.alias("xml")).distinct().withColumn("xml", X.pretty_print(F.col("xml")))
+
+
 @query("x1_content_model")
 def x1_content_model(spark, sf):
     """Bodies repaired to the content model, and whether they changed and parse now."""

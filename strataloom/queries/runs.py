@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strataloom import annotators
-from strataloom.functions.text import slug, version_numbers
+from strataloom.functions.text import asset_versions, slug, version_numbers
 from strataloom.operators import emit as E
 from strataloom.operators import runs as R
 from strataloom.plans.tables import table
@@ -208,6 +208,23 @@ def b9_bundles(spark, sf):
     return sinks.unbundle(sinks.bundles(files(spark, sf), volume_topics=4))
 
 
+@query("b10_find_files", """with o as (select distinct doc_id, topic_ix, filename from out_file) select doc_id, topic_ix, case topic_ix % 5 when 0 then filename when 1 then 'a/./../' || filename when 2 then '../' || filename when 3 then 'none.dita' else '/' || filename end as path,
+case when topic_ix % 5 < 2 then filename end as filename, case topic_ix % 5 when 0 then 200 when 1 then 200 when 3 then 404 else 403 end as status from o""")
+def b10_find_files(spark, sf):
+    """Files asked for by path: found, missing, or outside the folder."""
+    o = table(spark, sf, "out_file").select("doc_id", "topic_ix", "filename").distinct()
+    case = F.col("topic_ix") % 5
+    path = F.when(case == 0, F.col("filename")).when(case == 1, F.concat(F.lit("a/./../"), "filename")).when(case == 2, F.concat(F.lit("../"), "filename")).when(case == 3, "none.dita").otherwise(F.concat(F.lit("/"), "filename"))
+    return E.find_files(o.select("doc_id", "topic_ix", path.alias("path")), o)
+
+
+@query("f36_asset_versions", """select distinct doc_id, topic_ix, '<script src="' || filename || '.js?v=' || doc_id || '"></script><link href="a/x.css?v=' || doc_id || '"><a href="' || filename || '">' as html from out_file""")
+def f36_asset_versions(spark, sf):
+    """scripts and style sheets of a page under a new version."""
+    html = F.concat(F.lit('<script src="'), "filename", F.when(F.col("topic_ix") % 2 == 0, '.js?v=old"').otherwise('.js"'), F.lit('></script><link href="a/x.css"><a href="'), "filename", F.lit('">'))
+    return table(spark, sf, "out_file").select("doc_id", "topic_ix", asset_versions(html, F.col("doc_id").cast("string")).alias("html")).distinct()
+
+
 @query("c20_search", "with o as (select distinct doc_id, filename from out_file) select d.doc_id from (select doc_id, max(title) as title from documents group by doc_id) d where contains(lower(coalesce(title, '')), 'ledger') or doc_id in (select doc_id from o where contains(lower(filename), 'ledger'))")
 def c20_search(spark, sf):
     """C20: documents whose title or any file name holds a word."""

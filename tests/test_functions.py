@@ -40,6 +40,9 @@ CASES = [
     (T.title_from_filename, "c_set_up_x.dita", "Set Up X"),
     (T.title_case, "it's 2a-b", "It'S 2A-B"),
     (T.provider_of, "Claude-x", "claude"),
+    (T.inner_path, "a/./b//../c.html", "a/c.html"),
+    (T.inner_path, "a/../../a/c.html", None),
+    (T.inner_path, "/etc/passwd", None),
 ]
 
 
@@ -124,6 +127,11 @@ def test_tree_columns(spark):
     assert [r[0] for r in df.select(X.well_formed(F.col("x"))).collect()] == [True, False, None]
 
 
+def test_pretty():
+    assert X.pretty("<a><b>x<c/><d/></b><e><f/></e></a>") == "<a>\n  <b>x<c/><d/></b>\n  <e>\n    <f/>\n  </e>\n</a>"
+    assert X.pretty("<a><b>") == "<a><b>" and X.pretty(None) is None and X.pretty(X.pretty("<a> <b/>\n</a>")) == "<a>\n  <b/>\n</a>"
+
+
 @given(st.lists(st.text("ab -\tc", max_size=200), min_size=1, max_size=6))
 @settings(max_examples=15, deadline=None)
 def test_wrapped_lines(spark, texts):

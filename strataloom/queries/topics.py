@@ -81,7 +81,8 @@ def a7_rendered_blocks(spark: SparkSession, sf: str) -> DataFrame:
     """
     lines = M.render_blocks(S.distinct_blocks(table(spark, sf, "block")))
     key = F.concat_ws(":", F.col("doc_id").cast("string"), F.floor(F.col("pos") / 2000).cast("string"))
-    return M.markdown_blocks(lines.select(key.alias("doc_id"), (F.col("pos").cast("bigint") * 100_000 + F.col("part")).alias("line_no"), "line"))
+    lines = lines.select(key.alias("doc_id"), (F.col("pos").cast("bigint") * 100_000 + F.col("part")).alias("line_no"), "line")
+    return M.markdown_blocks(lines, stretch=2000 * 100_000)
 
 
 # -- sections and plan ----------------------------------------------------------------------------------------------

@@ -6,17 +6,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataloom.functions.text import SPACE, split_lines, strip
+from strataloom.plans.checkpoints import cut
+from strataloom.plans.running import STRETCH, numbered, running_total
 
 
 def markdown_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, line_no, line) of each text.
+    """(doc_id, line_no, line) of each text."""
+    return docs.where(F.col(text).isNotNull()).select(doc_id, F.posexplode(split_lines(F.col(text))).alias("line_no", "line"))
 
-    Texts are placed by document before they are split, so that only they are shuffled and no line is.
-    """
-    return docs.where(F.col(text).isNotNull()).select(doc_id, text).repartition(doc_id).select(doc_id, F.posexplode(split_lines(F.col(text))).alias("line_no", "line"))
+
+#: Fences and the lines that end whatever runs before them are counted in one number: the fences above these bits.
+_COUNT_BITS = 40
 
 
-def markdown_blocks(lines: DataFrame, doc_id: str = "doc_id", order: str = "line_no") -> DataFrame:
+def markdown_blocks(lines: DataFrame, doc_id: str = "doc_id", order: str = "line_no", stretch: int = STRETCH) -> DataFrame:
     """(doc_id, block_ix, type, text, level) of Markdown lines in order.
 
     Fences pair off; the lines between them are one code block, also if there are none, and what follows an unpaired
@@ -24,46 +27,46 @@ def markdown_blocks(lines: DataFrame, doc_id: str = "doc_id", order: str = "line
     takes in all following lines that start with a pipe. Everything else joins into paragraphs up to a blank line or a
     line that starts like a block. A document whose lines are all blank has no blocks.
 
-    One shuffle by document serves all windows.
+    Blank lines and fences end everything but code. They are counted in stretches of ``order``, and what is between two of them is
+    told apart by itself, so that no task holds a whole document; code is gathered by its fence.
     """
-    doc = Window.partitionBy(doc_id).orderBy(order)
-    upto = doc.rowsBetween(Window.unboundedPreceding, -1)
     s = strip(F.col("line"))
     df = lines.select(doc_id, order, "line", s.alias("s"))
     df = df.withColumn("fence", F.startswith("s", F.lit("```")))
-    df = df.withColumn("fences", F.coalesce(F.sum(F.col("fence").cast("int")).over(upto), F.lit(0)))
+    ends = (F.col("fence") | (F.col("s") == "")).cast("bigint")
+    df = running_total(df, doc_id, order, F.col("fence").cast("bigint") * (1 << _COUNT_BITS) + ends, "_n", stretch)
+    df = df.withColumn("fences", F.shiftright("_n", _COUNT_BITS) - F.col("fence").cast("int")).withColumn("part", F.col("_n").bitwiseAND(F.lit((1 << _COUNT_BITS) - 1)))
     df = df.withColumn("inside", (F.col("fences") % 2 == 1) & ~F.col("fence"))
+    code = df.where("fences % 2 = 1").groupBy(doc_id, "fences").agg(
+        F.min("part").alias("part"), F.min(order).alias("first"), F.max("fence").alias("closed"), F.sort_array(F.collect_list(F.when(F.col("inside"), F.struct(order, F.col("line").alias("t"))))).alias("parts"),
+    )
+    code = code.where("closed").select(doc_id, "part", "first", F.lit("code").alias("type"), F.lit(0).alias("level"), F.array_join(F.transform("parts", lambda p: p["t"]), "\n").alias("text"))
     kind = (
-        F.when(F.col("fence") | F.col("inside") | (F.col("s") == ""), F.lit(None))
-        .when(F.col("s").rlike(f"^#{{1,6}}[{SPACE}]+."), "H")
+        F.when(F.col("s").rlike(f"^#{{1,6}}[{SPACE}]+."), "H")
         .when(F.col("s").rlike(f"^(?:[-*+]|[0-9]+\\.)[{SPACE}]+."), "L")
         .when(F.col("s").rlike(r"^\|.*\|"), "T")
         .when(F.startswith("s", F.lit("|")), "S")
         .when(F.col("s").rlike(r"^[#*+-]"), "X")
         .otherwise("P")
     )
-    df = df.withColumn("kind", kind)
-    piped = F.coalesce(F.col("kind").isin("T", "S"), F.lit(False))
-    df = df.withColumn("piped", piped)
-    df = df.withColumn("run", F.sum((F.col("piped") & ~F.coalesce(F.lag("piped").over(doc), F.lit(False))).cast("int")).over(doc))
-    table = F.max(F.when(F.col("kind") == "T", 1).otherwise(0)).over(Window.partitionBy(doc_id, "piped", "run").orderBy(order)) == 1
-    df = df.withColumn("type", F.when(F.col("kind") == "H", "heading").when(F.col("kind") == "L", "list_item").when(F.col("piped") & table, "table").when(F.col("kind").isNotNull(), "paragraph"))
-    last = F.lag("type").over(doc)
-    start = F.when(F.col("type").isin("heading", "list_item"), 1).when(F.col("type") == "table", F.when(last.eqNullSafe("table"), 0).otherwise(1)).when(F.col("type") == "paragraph", F.when((F.col("kind") == "P") & last.eqNullSafe("paragraph"), 0).otherwise(1)).otherwise(0)
-    df = df.withColumn("block", F.sum(start).over(doc))
-    plain = df.where("type is not null").select(
-        doc_id, F.concat(F.lit("b"), "block").alias("key"), order, "type",
-        F.when(F.col("kind") == "H", F.regexp_replace("s", f"^#+[{SPACE}]+", "")).when(F.col("kind") == "L", F.regexp_replace("s", f"^(?:[-*+]|[0-9]+\\.)[{SPACE}]+", "")).otherwise(F.col("s")).alias("part"),
-        F.when(F.col("kind") == "H", F.length(F.regexp_extract("s", "^(#+)", 1))).otherwise(0).alias("level"),
+    run = Window.partitionBy(doc_id, "part").orderBy(order)
+    df = df.where("not fence and not inside and s <> ''").select(doc_id, "part", order, "s", kind.alias("kind"))
+    df = df.withColumn("piped", F.col("kind").isin("T", "S"))
+    df = df.withColumn("pipes", F.sum((F.col("piped") & ~F.coalesce(F.lag("piped").over(run), F.lit(False))).cast("int")).over(run))
+    table = F.max(F.when(F.col("kind") == "T", 1).otherwise(0)).over(Window.partitionBy(doc_id, "part", "piped", "pipes").orderBy(order)) == 1
+    df = df.withColumn("type", F.when(F.col("kind") == "H", "heading").when(F.col("kind") == "L", "list_item").when(F.col("piped") & table, "table").otherwise("paragraph"))
+    last = F.lag("type").over(run)
+    goes_on = ((F.col("type") == "table") | ((F.col("type") == "paragraph") & (F.col("kind") == "P"))) & last.eqNullSafe(F.col("type"))
+    df = df.withColumn("block", F.sum((~goes_on).cast("int")).over(run))
+    said = F.when(F.col("kind") == "H", F.regexp_replace("s", f"^#+[{SPACE}]+", "")).when(F.col("kind") == "L", F.regexp_replace("s", f"^(?:[-*+]|[0-9]+\\.)[{SPACE}]+", "")).otherwise(F.col("s"))
+    level = F.when(F.col("kind") == "H", F.length(F.regexp_extract("s", "^(#+)", 1))).otherwise(0)
+    plain = df.select(doc_id, "part", "block", "type", order, said.alias("t"), level.alias("level")).groupBy(doc_id, "part", "block", "type").agg(
+        F.min(order).alias("first"), F.max("level").alias("level"), F.sort_array(F.collect_list(F.struct(order, "t"))).alias("parts"),
     )
-    code = df.where("fences % 2 = 1").select(doc_id, F.concat(F.lit("c"), "fences").alias("key"), order, F.lit("code").alias("type"), F.when(F.col("inside"), F.col("line")).alias("part"), F.lit(0).alias("level"), F.col("fence").alias("closing"))
-    rows = plain.withColumn("closing", F.lit(True)).unionAll(code)
-    grouped = rows.groupBy(doc_id, "key", "type").agg(F.min(order).alias("first"), F.max("level").alias("level"), F.sort_array(F.collect_list(F.when(F.col("part").isNotNull(), F.struct(order, "part")))).alias("parts"), F.max("closing").alias("closed"))
-    grouped = grouped.where("closed")
-    parts = F.transform("parts", lambda p: p["part"])
-    text = F.when(F.col("type") == "paragraph", F.array_join(parts, " ")).otherwise(F.array_join(parts, "\n"))
-    ix = F.row_number().over(Window.partitionBy(doc_id).orderBy("first")) - 1
-    return grouped.select(doc_id, ix.alias("block_ix"), "type", text.alias("text"), F.col("level").cast("int").alias("level"))
+    texts = F.transform("parts", lambda p: p["t"])
+    plain = plain.select(doc_id, "part", "first", "type", "level", F.when(F.col("type") == "paragraph", F.array_join(texts, " ")).otherwise(F.array_join(texts, "\n")).alias("text"))
+    blocks = cut(plain.unionByName(code))  # read twice to be numbered
+    return numbered(blocks, doc_id, "part", ["first"], "block_ix").select(doc_id, "block_ix", "type", "text", F.col("level").cast("int").alias("level"))
 
 
 def render_blocks(block: DataFrame) -> DataFrame:

@@ -54,10 +54,22 @@ def heading_levels(words: DataFrame) -> DataFrame:
     return sizes.withColumn("level", F.dense_rank().over(Window.partitionBy("doc_id").orderBy(F.desc("size"))))
 
 
-def page_levels(words: DataFrame) -> DataFrame:
-    """(doc_id, page, levels): the heading sizes that occur on a page, each with its level in the document, as a map."""
-    large = words.where(is_bold(F.col("fontname")) & (F.round("size", 1) > HEADING_SIZE)).select("doc_id", "page", F.round("size", 1).alias("size")).distinct()
-    return large.join(heading_levels(words).drop("n"), ["doc_id", "size"]).groupBy("doc_id", "page").agg(F.map_from_entries(F.collect_list(F.struct("size", "level"))).alias("levels"))
+def page_stats(words: DataFrame) -> DataFrame:
+    """(doc_id, page, body, n_words, largest, large): what layout needs of each page besides its lines, in one pass over the words.
+
+    ``body`` is that of ``body_sizes``, ``large`` the heading sizes (bold and large) that occur on the page.
+    """
+    size = F.round("size", 1)
+    sizes = words.groupBy("doc_id", "page", size.alias("size")).agg(F.sum(F.length("text")).alias("n"), F.min("word_ix").alias("first"), F.count("*").alias("words"), F.max("size").alias("m"), F.max(is_bold(F.col("fontname"))).alias("bold"))
+    heading = F.when(F.col("bold") & (F.col("size") > HEADING_SIZE), F.col("size"))
+    return sizes.groupBy("doc_id", "page").agg(F.max_by("size", F.struct("n", -F.col("first"))).alias("body"), F.sum("words").alias("n_words"), F.max("m").alias("largest"), F.collect_list(heading).alias("large"))
+
+
+def page_levels(stats: DataFrame) -> DataFrame:
+    """(doc_id, page, levels): the heading sizes that occur on a page, each with its level in the document, as a map; from ``page_stats``."""
+    large = stats.select("doc_id", "page", F.explode("large").alias("size"))
+    levels = large.select("doc_id", "size").distinct().withColumn("level", F.dense_rank().over(Window.partitionBy("doc_id").orderBy(F.desc("size"))))
+    return large.join(levels, ["doc_id", "size"]).groupBy("doc_id", "page").agg(F.map_from_entries(F.collect_list(F.struct("size", "level"))).alias("levels"))
 
 
 def body_sizes(words: DataFrame) -> DataFrame:
@@ -152,11 +164,12 @@ def blocks(text_lines: DataFrame, levels: DataFrame) -> DataFrame:
 
 def layout_blocks(words: DataFrame, boxes: DataFrame, pages: DataFrame) -> DataFrame:
     """The whole way from words to blocks, without contents and cover pages and without table words."""
-    skip = contents_pages(pages).unionAll(cover_pages(words)).distinct()
-    kept = words.join(skip, ["doc_id", "page"], "left_anti")
-    levels = page_levels(words)
+    stats = cut(page_stats(words))  # one row per page, read three times below
+    covers = stats.where((F.col("largest") > COVER_SIZE) & (F.col("n_words") < COVER_WORDS)).select("doc_id", "page")
+    kept = words.join(contents_pages(pages).unionAll(covers).distinct(), ["doc_id", "page"], "left_anti")
     outside = words_outside_tables(line_words(kept), boxes)
-    return blocks(cut(body_lines(lines(outside), body_sizes(kept))), levels)  # lines are read four times below
+    text_lines = cut(body_lines(lines(outside), stats.select("doc_id", "page", "body")))  # read four times below
+    return blocks(text_lines, page_levels(stats))
 
 
 def insert_tables(block: DataFrame, tables: DataFrame) -> DataFrame:

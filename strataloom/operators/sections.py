@@ -40,19 +40,21 @@ def planning_rows(block: DataFrame) -> DataFrame:
     Only headings keep their text; of other texts stay the bits of the VERBS they hold and the hash of their folded
     form, so that what is shuffled from here on does not grow with the texts. Echoes and footers are left out.
     """
-    low = F.lower(F.coalesce("text", F.lit("")))
-    norm = F.lower(strip(F.col("text")))
+    head = F.col("type") == "heading"
+    # worked out once for all that is asked of it below
+    low = block.select("doc_id", "pos", "type", "level", "page", F.when(head, F.col("text")).alias("text"), F.lower("text").alias("low"))
+    low = low.select("doc_id", "pos", "type", "level", "page", "text", "low", strip(F.col("low")).alias("norm"))
     bits = F.lit(0)
     for i, v in enumerate(VERBS):
-        bits = bits + F.when(F.contains(low, F.lit(v)), 1 << i).otherwise(0)
-    head = F.col("type") == "heading"
-    slim = block.select(
-        "doc_id", "pos", "type", "level", "page", F.when(head, F.col("text")).alias("text"), F.when(~head, bits).otherwise(0).alias("verbs"),
-        F.xxhash64(norm).alias("hash"), (F.col("text").isNotNull() & (F.length(norm) < ECHO_CHARS)).alias("short"),
-        F.coalesce((F.col("type") == "paragraph") & norm.rlike(f"^(page[{SPACE}]+[0-9]+|sample file:)"), F.lit(False)).alias("footer"),
+        bits = bits + F.when(F.contains("low", F.lit(v)), 1 << i).otherwise(0)
+    slim = low.select(
+        "doc_id", "pos", "type", "level", "page", "text", F.when(~head, bits).otherwise(0).alias("verbs"),
+        F.xxhash64("norm").alias("hash"), (F.col("norm").isNotNull() & (F.length("norm") < ECHO_CHARS)).alias("short"),
+        F.coalesce((F.col("type") == "paragraph") & F.col("norm").rlike(f"^(page[{SPACE}]+[0-9]+|sample file:)"), F.lit(False)).alias("footer"),
     )
     slim = slim.where("not footer").distinct()
-    heads = slim.where("type = 'heading' and short").select(F.col("doc_id").alias("_d"), F.col("hash").alias("_h")).distinct()
+    title = strip(F.lower("text"))
+    heads = block.where("type = 'heading' and text is not null").where(F.length(title) < ECHO_CHARS).select(F.col("doc_id").alias("_d"), F.xxhash64(title).alias("_h")).distinct()
     echo = (F.col("doc_id") == F.col("_d")) & (F.col("hash") == F.col("_h")) & (F.col("type") == "paragraph") & F.col("short")
     return slim.join(heads, echo, "left_anti").select("doc_id", "pos", "type", "level", "page", "text", "verbs")
 

@@ -53,9 +53,9 @@ def words(spark: SparkSession, sf: str) -> DataFrame:
 BOXES = f"boxes as (select distinct doc_id, page, 0.0::double as x0, {60 + 14 * 10}.0::double as top, 5000.0::double as x1, {60 + 14 * 12 + 30}.0::double as bottom from words where page % 3 = 0)"
 
 
-def boxes(w: DataFrame) -> DataFrame:
+def boxes(spark: SparkSession, sf: str) -> DataFrame:
     """One table on every third page, over its lines 10 to 12."""
-    return w.where("page % 3 = 0").select("doc_id", "page", F.lit(0.0).alias("x0"), F.lit(60.0 + 14 * 10).alias("top"), F.lit(5000.0).alias("x1"), F.lit(60.0 + 14 * 12 + 30).alias("bottom")).distinct()
+    return _lines(spark, sf).where("page % 3 = 0").select("doc_id", "page", F.lit(0.0).alias("x0"), F.lit(60.0 + 14 * 10).alias("top"), F.lit(5000.0).alias("x1"), F.lit(60.0 + 14 * 12 + 30).alias("bottom")).distinct()
 
 
 PAGES = f"pages as (select doc_id, (line_no // {LINES_A_PAGE} + 1)::int as page, case when doc_id % 10 = {CONTENTS} and line_no // {LINES_A_PAGE} = 1 then 'TABLE of Contents' || chr(10) else '' end || string_agg(line, chr(10) order by line_no) as text from d group by doc_id, line_no // {LINES_A_PAGE})"
@@ -104,7 +104,7 @@ _INSIDE = "b.doc_id = w.doc_id and b.page = w.page and w.x0 >= b.x0 - 2 and w.to
 def c8_words_outside_tables(spark, sf):
     """Words of each page that no table box holds."""
     w = words(spark, sf)
-    return L.words_outside_tables(w, boxes(w)).groupBy("doc_id", "page").agg(F.count("*").alias("n"))
+    return L.words_outside_tables(w, boxes(spark, sf)).groupBy("doc_id", "page").agg(F.count("*").alias("n"))
 
 
 _LEVELS = "lv as (select doc_id, size, count(*) as n, dense_rank() over (partition by doc_id order by size desc)::int as level from words where contains(lower(fontname), 'bold') and size > 12 group by doc_id, size)"
@@ -166,7 +166,7 @@ select doc_id, (row_number() over (partition by doc_id order by page, first) - 1
 def w3_layout_blocks(spark, sf):
     """The whole way from words to typed blocks."""
     w = words(spark, sf)
-    return L.layout_blocks(w, boxes(w), pages(spark, sf))
+    return L.layout_blocks(w, boxes(spark, sf), pages(spark, sf))
 
 
 @query(

@@ -114,6 +114,13 @@ def test_thresholds_alone_decide_p2_found(spark, tmp_path):
     assert {r["text"] for r in query["p2_clean"](spark, str(tmp_path)).collect()} == {""}
 
 
+def test_documents_without_a_text_are_texts_of_their_own(spark):
+    docs = spark.createDataFrame([(i, (None, "", " \n", "same text", "same  text")[i], "en", "s", "t", None, None) for i in range(5)], DOCS)
+    block = spark.createDataFrame([(i, 0, "paragraph", "Share this page", 1, 0) for i in range(5)], BLOCK)
+    assert [(r["n_docs"], r["n_texts"]) for r in boilerplate.line_report(block, docs).collect()] == [(5, 4)]
+    assert rows(boilerplate.repeated_lines(block, docs, min_clusters=4).select("doc_id", "pos", "line_ix")) == [(i, 0, 0) for i in range(5)]
+
+
 # -- 3 scanned text
 
 CLEAN = "every monthly account validates the default settings of the approval while the manual balance filters including internal words"

@@ -205,3 +205,50 @@ def test_runs(spark):
     assert R.stage_view(latest).count() == 3
     assert {r["client_id"]: (r["stages"], r["failed"]) for r in R.run_summary(ev).collect()} == {"a": (3, 0), "b": (2, 1)}
     assert R.image_cap_audit(spark.createDataFrame([(1, 900, 10), (1, 2000, 10), (1, None, 1)], "doc_id bigint, width int, bytes bigint")).first()[1:] == (1, 1)
+
+
+TOPIC = "doc_id bigint, topic_ix int, document string, title string, product string, filename string"
+
+
+def told(topic, topics):
+    """The prompt of a topic with one paragraph, as the statement has it."""
+    _, _, document, title, product, _ = topic
+    out = "".join(f"{n}: {v}\n" for n, v in (("Document", document), ("Topic", title), ("Product", product)) if v)
+    others = [t for t in topics if None not in (t[3], title) and t[3] != title]
+    files = [f"  {t[3]} = {t[5]}\n" for t in others if t[5]]
+    out += f"Other topics: {', '.join(t[3] for t in others)}\n" if others else ""
+    return out + ("Files of other topics:\n" + "".join(files) if files else "") + f"\nBlocks:\n[PARAGRAPH] text {topic[1]}\n"
+
+
+def prompted(spark, heads):
+    rows = [(h[0], h[1], "paragraph", h[1], f"text {h[1]}", 1) for h in heads]
+    return S.prompts(spark.createDataFrame(rows, "doc_id bigint, topic_ix int, type string, pos int, text string, level int"), spark.createDataFrame(heads, TOPIC))
+
+
+def test_prompts_name_the_other_topics(spark):
+    rng = random.Random(4)
+    docs = [[""], [""] * 2, ["", "A"], ["A"] * 5, ["A", "A", "B"], ["A", "B", "B"], [None, "A"], [None] * 2, ["A", None, "A", "B"], ["A", "B"] * 3]
+    docs += [[rng.choice(["Größe", "日本", "A, B", "A", "", None, " = ", "𝒜"]) for _ in range(rng.choice([3, 7, 450]))] for _ in range(9)]
+    heads = [[(d, i * (1 + d % 2 * 90), f"doc {d}" if d % 3 else None, t, "P" if d % 2 else None, None if d % 5 == 1 and i % 2 else f"c_{i}.dita" if d % 4 else "") for i, t in enumerate(ts)] for d, ts in enumerate(docs)]
+    got = {(r["doc_id"], r["topic_ix"]): r["prompt"] for r in prompted(spark, [h for d in heads for h in d]).collect()}
+    assert got == {h[:2]: told(h, d) for d in heads for h in d}
+
+
+def test_prompts_of_a_huge_document_are_not_moved(spark):
+    """What other topics are called is 24 MB in the prompts; what is shuffled must not be of that kind."""
+    heads = [(7, i, "Manual", f"Title of the topic with number {i:04d}", None, f"c_title_of_the_topic_with_number_{i:04d}.dita") for i in range(450)]
+    ran = prompted(spark, heads)._jdf.queryExecution()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert ran.toRdd().count() == 450
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+    def moved(p):
+        kind = p.getClass().getSimpleName()
+        own = p.metrics().get("dataSize").get().value() if kind == "ShuffleExchangeExec" else 0
+        below = [p.finalPhysicalPlan()] if kind == "AdaptiveSparkPlanExec" else [p.plan()] if kind == "ShuffleQueryStageExec" else [p.children().apply(i) for i in range(p.children().size())]
+        return own + sum(map(moved, below))
+
+    assert 0 < moved(ran.executedPlan()) < 2_000_000
